@@ -7,12 +7,14 @@ from __future__ import annotations
 
 
 def queries() -> dict:
-    from . import quality, secrets, sharding, url_filter
+    from . import bpe, language_id, quality, secrets, sharding, url_filter
 
     return {
+        "op1_language_id": language_id.op1_language_id,
         "op2_quality": quality.op2_quality,
         "op3_sharding": sharding.op3_sharding,
         "op6_url_filter": url_filter.op6_url_filter,
+        "op7_bpe": bpe.op7_bpe,
         "op8_secrets": secrets.op8_secrets,
     }
 
