@@ -7,12 +7,13 @@ from __future__ import annotations
 
 
 def queries() -> dict:
-    from . import bpe, language_id, quality, secrets, sharding, url_filter
+    from . import bpe, decontaminate, language_id, quality, secrets, sharding, url_filter
 
     return {
         "op1_language_id": language_id.op1_language_id,
         "op2_quality": quality.op2_quality,
         "op3_sharding": sharding.op3_sharding,
+        "op4_decontaminate": decontaminate.op4_decontaminate,
         "op6_url_filter": url_filter.op6_url_filter,
         "op7_bpe": bpe.op7_bpe,
         "op8_secrets": secrets.op8_secrets,
@@ -20,6 +21,8 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import quality, secrets, sharding
+    from . import decontaminate, quality, secrets, sharding
 
-    return {"op2_quality": quality.OP2_SQL, "op3_sharding": sharding.OP3_SQL, "op8_secrets": secrets.OP8_SQL}
+    return {
+        "op4_decontaminate": decontaminate.OP4_SQL,
+       "op2_quality": quality.OP2_SQL, "op3_sharding": sharding.OP3_SQL, "op8_secrets": secrets.OP8_SQL}
