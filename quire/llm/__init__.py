@@ -7,7 +7,7 @@ from __future__ import annotations
 
 
 def queries() -> dict:
-    from . import bpe, decontaminate, language_id, quality, secrets, sharding, url_filter
+    from . import bpe, decontaminate, html_extract, language_id, quality, secrets, sharding, url_filter
 
     return {
         "op1_language_id": language_id.op1_language_id,
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op6_url_filter": url_filter.op6_url_filter,
         "op7_bpe": bpe.op7_bpe,
         "op8_secrets": secrets.op8_secrets,
+        "op9_html_extract": html_extract.op9_html_extract,
     }
 
 
