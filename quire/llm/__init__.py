@@ -7,7 +7,7 @@ from __future__ import annotations
 
 
 def queries() -> dict:
-    from . import bpe, decontaminate, html_extract, language_id, quality, secrets, sharding, url_filter
+    from . import bpe, decontaminate, html_extract, language_id, quality, secrets, sharding, suffix_dedup, url_filter
 
     return {
         "op1_language_id": language_id.op1_language_id,
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op7_bpe": bpe.op7_bpe,
         "op8_secrets": secrets.op8_secrets,
         "op9_html_extract": html_extract.op9_html_extract,
+        "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
     }
 
 
