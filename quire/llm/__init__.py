@@ -7,13 +7,14 @@ from __future__ import annotations
 
 
 def queries() -> dict:
-    from . import bpe, decontaminate, html_extract, language_id, quality, secrets, sharding, suffix_dedup, url_filter
+    from . import bpe, decontaminate, html_extract, jaccard_join, language_id, quality, secrets, sharding, suffix_dedup, url_filter
 
     return {
         "op1_language_id": language_id.op1_language_id,
         "op2_quality": quality.op2_quality,
         "op3_sharding": sharding.op3_sharding,
         "op4_decontaminate": decontaminate.op4_decontaminate,
+        "op5_jaccard_join": jaccard_join.op5_jaccard_join,
         "op6_url_filter": url_filter.op6_url_filter,
         "op7_bpe": bpe.op7_bpe,
         "op8_secrets": secrets.op8_secrets,
