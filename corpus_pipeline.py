@@ -1,18 +1,61 @@
-"""The corpus pipeline: stages over documents, each written and read again."""
+"""The corpus pipeline: documents to tokens in five stages, each written and read again.
+
+Every stage takes what the one before it kept, whole. The first three drop
+documents, the fourth rewrites texts, and the last returns the digests of the
+tokens; all but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from quire.llm.bpe import default_path, digest_tokens
 from quire.llm.common import stored, table
+from quire.llm.decontaminate import drop_contaminated
+from quire.llm.jaccard_join import keep_one
+from quire.llm.language_id import UNKNOWN, predict, train
 from quire.llm.secrets import redact_secrets
 
+#: A document whose best language is less likely than this is rejected, as one without letters is.
+LEAST_SCORE = 0.3
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that the network tells."""
+    seen = predict(docs, train(docs), extra=True)
+    return seen.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)).drop("lang_pred", "score")
+
+
+def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, the one of smallest doc_id, of each component of near copies."""
+    return keep_one(docs)
+
 
-def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that aren't contaminated by the benchmark."""
+    return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, their secrets replaced by a mark."""
     return redact_secrets(docs)
 
 
-STAGES = [("secret scans", secrets_stage)]
+def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Number and digests of the tokens of each document."""
+    return digest_tokens(docs, default_path())
+
+
+STAGES = [
+    ("language ID", language_stage),
+    ("n-gram Jaccard join", jaccard_stage),
+    ("benchmark decontamination", benchmark_stage),
+    ("secret scans", secret_stage),
+    ("BPE encoding and decoding", token_stage),
+]
+
+#: The recurrent network can't be written in SQL; tests hold the pipeline against a brute-force version.
 ORACLE_SQL = None
 
 

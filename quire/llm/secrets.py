@@ -130,19 +130,21 @@ def find_secrets(docs: DataFrame, ledger_path: str | None = None) -> DataFrame:
 
 
 def redact_secrets(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
-    """docs with every span that the ledger lists replaced by mark; all columns and rows stay."""
-    found = find_secrets(docs).where("spans <> ''").select(F.col("doc_id").alias("__id"), F.col("spans").alias("__spans")).dropDuplicates(["__id", "__spans"])
-    # A document may have two versions under one id, so the text is matched by its own spans.
-    kept, names = docs.columns, [c for c in docs.columns if c != "text"]
-    ids = found.select("__id").distinct()
-    touched = F.coalesce(F.col("__hit"), F.lit(False))
-    schema = docs.schema
+    """docs with every span that the ledger lists replaced by mark.
+
+    Overlapping spans become one mark. All rows and columns stay; a column
+    n_chars follows the changed text. Texts without a span pass unread.
+    """
+    hits = stored(find_secrets(docs).where("spans <> ''").select(F.col("doc_id").alias("__id")).distinct(), "hits")
+    flag = hits.withColumn("__hit", F.lit(True))
+    if hits.count() <= BROADCAST_BLOBS:
+        flag = F.broadcast(flag)
+    columns, schema = docs.columns, docs.schema
 
     def cut(batches):
         for batch in batches:
             at = batch.schema.get_field_index("text")
-            flags = batch.column(batch.schema.get_field_index("__hit")).to_pylist()
-            texts = batch.column(at).to_pylist()
+            flags, texts = batch.column(batch.schema.get_field_index("__hit")).to_pylist(), batch.column(at).to_pylist()
             for i, (hit, text) in enumerate(zip(flags, texts, strict=True)):
                 if hit and text:
                     out, end = [], 0
@@ -151,14 +153,12 @@ def redact_secrets(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
                             out += [text[end:a], mark]
                         end = max(end, b)
                     texts[i] = "".join([*out, text[end:]])
-            arrays = [pa.array(texts, batch.schema.field(at).type) if c == "text" else batch.column(batch.schema.get_field_index(c)) for c in kept]
-            yield pa.RecordBatch.from_arrays(arrays, kept)
+            arrays = [pa.array(texts, batch.schema.field(at).type) if c == "text" else batch.column(batch.schema.get_field_index(c)) for c in columns]
+            yield pa.RecordBatch.from_arrays(arrays, columns)
 
-    del names
-    flag = ids.withColumn("__hit", F.lit(True))
-    if ids.count() <= BROADCAST_BLOBS:
-        flag = F.broadcast(flag)
-    return docs.join(flag, docs["doc_id"] == flag["__id"], "left").drop("__id").withColumn("__hit", touched).mapInArrow(cut, schema)
+    marked = docs.join(flag, docs["doc_id"] == flag["__id"], "left").drop("__id").withColumn("__hit", F.coalesce("__hit", F.lit(False)))
+    clean = marked.mapInArrow(cut, schema)
+    return clean.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType)) if "n_chars" in columns else clean
 
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
