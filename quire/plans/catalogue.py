@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from importlib import import_module
+
+GROUPS = ("text",)
+
+
+def _groups():
+    return [import_module(f"quire.plans.{g}").query for g in GROUPS]
+
 
 def queries() -> dict:
-    return {}
+    return {k: q for g in _groups() for k, q in g.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: s for g in _groups() for k, s in g.sql.items()}
