@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, let, table
+from .common import ascii_lower, let, stored, table
 
 SPAN = 13
 #: Up to this many windows of test items (24 bytes each) are broadcast; more are shuffled.
@@ -28,8 +28,12 @@ def item_words(text: Column) -> Column:
     return F.filter(F.split(ascii_lower(F.coalesce(text, F.lit(""))), _GAP), lambda w: w != "")
 
 
-def runs(word_list: Column, m: int) -> Column:
-    """Runs of windows of m words with one name: array of (name, start from 1, hashes of the windows)."""
+def hashed_words(text: Column) -> Column:
+    return F.transform(item_words(text), lambda w: F.xxhash64(w))
+
+
+def runs(hashed: Column, m: int) -> Column:
+    """Runs of windows of m (hashed) words with one name: array of (name, start from 1, hashes of the windows)."""
     k = m // 2 + 1
     w = m - k + 1
     upto = lambda n: F.sequence(F.lit(1), n)
@@ -45,18 +49,19 @@ def runs(word_list: Column, m: int) -> Column:
         )
         return let(F.filter(upto(F.size(names)), first), cut)
 
-    grams = F.transform(upto(F.size(word_list) - (k - 1)), lambda i: F.xxhash64(F.lit(m), F.slice(word_list, i, k)))
-    names = lambda h: F.transform(upto(F.size(word_list) - (m - 1)), lambda j: F.array_min(F.slice(h, j, w)))
-    whole = F.transform(upto(F.size(word_list) - (m - 1)), lambda j: F.xxhash64(F.lit(m), F.lit("whole"), F.slice(word_list, j, m)))
-    found = let(grams, lambda h: let(names(h), lambda n: let(whole, lambda g: named(n, g))))
-    return F.when(F.size(word_list) >= m, found).otherwise(F.array().cast("array<struct<name:bigint,start:int,windows:array<bigint>>>"))
+    grams = F.transform(upto(F.size(hashed) - (k - 1)), lambda i: F.xxhash64(F.lit(m), F.slice(hashed, i, k)))
+    names = lambda h: F.transform(upto(F.size(hashed) - (m - 1)), lambda j: F.array_min(F.slice(h, j, w)))
+    # The first and the last k-gram of a window hold all its words.
+    whole = lambda h: F.transform(upto(F.size(hashed) - (m - 1)), lambda j: F.xxhash64(F.get(h, j - 1), F.get(h, j + (w - 2))))
+    found = let(grams, lambda h: let(names(h), lambda n: let(whole(h), lambda g: named(n, g))))
+    return F.when(F.size(hashed) >= m, found).otherwise(F.array().cast("array<struct<name:bigint,start:int,windows:array<bigint>>>"))
 
 
-def _all_runs(word_list: Column, spans: list[int]) -> Column:
+def _all_runs(hashed: Column, spans: list[int]) -> Column:
     def tag(m: int):
         return lambda r: F.struct(F.lit(m).alias("m"), r["name"].alias("name"), r["start"].alias("start"), r["windows"].alias("windows"))
 
-    tagged = [F.transform(runs(word_list, m), tag(m)) for m in spans]
+    tagged = [F.transform(runs(hashed, m), tag(m)) for m in spans]
     return tagged[0] if len(tagged) == 1 else F.concat(*tagged)
 
 
@@ -68,11 +73,11 @@ def find_overlaps(docs: DataFrame, items: DataFrame, span: int = SPAN) -> DataFr
     equal doc_id are told apart by their text (text_hash); repeated rows repeat.
     """
     key = F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("text_hash")
-    rows = docs.select("doc_id", key, item_words(F.col("text")).alias("words"))
-    tests = items.select(F.col("item_id").cast("string").alias("item_id"), item_words(F.col("text")).alias("words")).withColumn("m", F.least(F.size("words"), F.lit(span))).where("m > 0")
+    rows = docs.select("doc_id", key, hashed_words(F.col("text")).alias("words"))
+    tests = items.select(F.col("item_id").cast("string").alias("item_id"), hashed_words(F.col("text")).alias("words")).withColumn("m", F.least(F.size("words"), F.lit(span))).where("m > 0")
     # At most span values.
     spans = sorted(r["m"] for r in tests.select("m").distinct().collect())
-    sizes = rows.select("doc_id", "text_hash", F.size("words").cast("long").alias("n_words"))
+    sizes = docs.select("doc_id", key, F.size(item_words(F.col("text"))).cast("long").alias("n_words"))
     if not spans:
         return sizes.select("*", F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"), F.array().cast("array<string>").alias("item_ids"))
 
@@ -85,6 +90,8 @@ def find_overlaps(docs: DataFrame, items: DataFrame, span: int = SPAN) -> DataFr
     sent = rows.select("doc_id", "text_hash", F.explode(_all_runs(F.col("words"), spans)).alias("r")).select("doc_id", "text_hash", "r.*")
     near = sent.join(hint(names), "name", "left_semi").select("doc_id", "text_hash", "m", F.posexplode("windows").alias("i", "window"), "start")
     hits = near.select("doc_id", "text_hash", "m", (F.col("start") + F.col("i")).alias("start"), "window").join(hint(windows.select("window").distinct()), "window", "left_semi").distinct()
+    # Used twice below; the scan of the texts runs once.
+    hits = stored(hits, "hits")
 
     zero = F.struct(F.lit(0).alias("end"), F.lit(0).alias("n"))
     union = F.aggregate(
