@@ -24,11 +24,11 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import released, table
 
 SHORT = 48
 #: Words and chunks remembered by a worker; a full memory becomes the old one, which the next replaces.
-MEMORY = 300_000
+MEMORY = 200_000
 END = "</w>"
 _NO_RANK = 1 << 60
 #: White space of str.split() that the tokenizer's \s isn't.
@@ -157,6 +157,10 @@ class WordBpe:
             ids += fill(c) if got is None else got
         return ids
 
+    def forget(self) -> None:
+        """Drop the older half of what is remembered; called at the end of a task."""
+        self.old_words, self.old_chunks = {}, {}
+
     def decode(self, ids: list[int]) -> str:
         """The tokens joined by spaces: the file names no decoder."""
         return " ".join(map(self.token.__getitem__, ids))
@@ -187,9 +191,10 @@ def encode_texts(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches):
         bpe = get()
-        for b in batches:
+        for b in released(batches):
             ids = [bpe.encode(t or "") for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
+        bpe.forget()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -200,7 +205,7 @@ def decode_ids(encoded: DataFrame, path: str) -> DataFrame:
 
     def run(batches):
         bpe = get()
-        for b in batches:
+        for b in released(batches):
             texts = [bpe.decode(i or []) for i in b.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(texts, pa.string())], ["doc_id", "text"])
 
@@ -219,7 +224,7 @@ def digest_tokens(docs: DataFrame, path: str) -> DataFrame:
     def run(batches):
         bpe = get()
         shown = bpe.text_of_id.__getitem__
-        for b in batches:
+        for b in released(batches):
             n, ids_sha, text_sha = [], [], []
             for t in b.column("text"):
                 ids = bpe.encode(t.as_py() or "")
@@ -230,6 +235,7 @@ def digest_tokens(docs: DataFrame, path: str) -> DataFrame:
                 [b.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())],
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
+        bpe.forget()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 

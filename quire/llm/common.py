@@ -52,6 +52,26 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def released(batches):
+    """batches, and at their end give freed memory back to the machine; a worker outlives its task."""
+    yield from batches
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library keeps what it has
+        pass
+
+
+def slices(batch, rows: int):
+    """A record batch in parts of at most that many rows."""
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
 def let(value: Column, body) -> Column:
     """Bind value once inside an expression, so a lambda doesn't repeat it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

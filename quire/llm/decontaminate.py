@@ -25,41 +25,55 @@ _GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def item_words(text: Column) -> Column:
-    return F.filter(F.split(ascii_lower(F.coalesce(text, F.lit(""))), _GAP), lambda w: w != "")
+    return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), _GAP), "")
 
 
 def hashed_words(text: Column) -> Column:
     return F.transform(item_words(text), lambda w: F.xxhash64(w))
 
 
+def _grams(array: Column, k: int, body, span: int = 1) -> Column:
+    """body of the hashes of k neighbours from each place on, by doubling; the last k - 1 entries mean nothing."""
+    if span == k:
+        return body(array)
+    step = min(span, k - span)
+    return let(F.transform(array, lambda x, i: F.xxhash64(x, F.get(array, i + step))), lambda a: _grams(a, k, body, span + step))
+
+
 def runs(hashed: Column, m: int) -> Column:
-    """Runs of windows of m (hashed) words with one name: array of (name, start from 1, hashes of the windows)."""
+    """Runs of windows of m (hashed) words with one name: array of (name, start from 1, k-grams of the run)."""
     k = m // 2 + 1
     w = m - k + 1
     upto = lambda n: F.sequence(F.lit(1), n)
 
-    def named(names: Column, whole: Column) -> Column:
+    def named(names: Column, grams: Column) -> Column:
         first = lambda j: F.coalesce(F.get(names, j - 1) != F.get(names, j - 2), F.lit(True))
         cut = lambda starts: F.transform(
             starts,
             lambda j, i: F.struct(
                 F.get(names, j - 1).alias("name"), j.alias("start"),
-                F.slice(whole, j, F.coalesce(F.get(starts, i + 1), F.size(names) + 1) - j).alias("windows"),
+                F.slice(grams, j, F.coalesce(F.get(starts, i + 1), F.size(names) + 1) - j + (w - 1)).alias("grams"),
             ),
         )
         return let(F.filter(upto(F.size(names)), first), cut)
 
-    grams = F.transform(upto(F.size(hashed) - (k - 1)), lambda i: F.xxhash64(F.lit(m), F.slice(hashed, i, k)))
-    names = lambda h: F.transform(upto(F.size(hashed) - (m - 1)), lambda j: F.array_min(F.slice(h, j, w)))
-    # The first and the last k-gram of a window hold all its words.
-    whole = lambda h: F.transform(upto(F.size(hashed) - (m - 1)), lambda j: F.xxhash64(F.get(h, j - 1), F.get(h, j + (w - 2))))
-    found = let(grams, lambda h: let(names(h), lambda n: let(whole(h), lambda g: named(n, g))))
-    return F.when(F.size(hashed) >= m, found).otherwise(F.array().cast("array<struct<name:bigint,start:int,windows:array<bigint>>>"))
+    def smallest(h: Column, j: Column) -> Column:
+        return F.least(*(F.get(h, j + i) for i in range(-1, w - 1))) if w > 1 else F.get(h, j - 1)
+
+    names = lambda h: F.transform(upto(F.size(hashed) - (m - 1)), lambda j: smallest(h, j))
+    found = _grams(hashed, k, lambda h: let(names(h), lambda n: named(n, h)))
+    return F.when(F.size(hashed) >= m, found).otherwise(F.array().cast("array<struct<name:bigint,start:int,grams:array<bigint>>>"))
+
+
+def windows_of(m: Column, grams: Column) -> Column:
+    """Hashes of the windows of a run: the first and the last k-gram of a window hold all its words."""
+    last = m - F.floor(m / 2).cast("int") - 1
+    return F.transform(F.slice(grams, F.lit(1), F.size(grams) - last), lambda g, i: F.xxhash64(m, g, F.get(grams, i + last)))
 
 
 def _all_runs(hashed: Column, spans: list[int]) -> Column:
     def tag(m: int):
-        return lambda r: F.struct(F.lit(m).alias("m"), r["name"].alias("name"), r["start"].alias("start"), r["windows"].alias("windows"))
+        return lambda r: F.struct(F.lit(m).alias("m"), r["name"].alias("name"), r["start"].alias("start"), r["grams"].alias("grams"))
 
     tagged = [F.transform(runs(hashed, m), tag(m)) for m in spans]
     return tagged[0] if len(tagged) == 1 else F.concat(*tagged)
@@ -82,13 +96,13 @@ def find_overlaps(docs: DataFrame, items: DataFrame, span: int = SPAN) -> DataFr
         return sizes.select("*", F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"), F.array().cast("array<string>").alias("item_ids"))
 
     own = tests.select("item_id", F.explode(F.filter(_all_runs(F.col("words"), spans), lambda r: r["m"] == F.col("m"))).alias("r"))
-    windows = own.select("item_id", F.explode("r.windows").alias("window")).distinct()
+    windows = own.select("item_id", F.explode(windows_of(F.col("r.m"), F.col("r.grams"))).alias("window")).distinct()
     names = own.select("r.name").distinct()
     small = windows.count() <= BROADCAST_WINDOWS
     hint = F.broadcast if small else (lambda x: x)
 
     sent = rows.select("doc_id", "text_hash", F.explode(_all_runs(F.col("words"), spans)).alias("r")).select("doc_id", "text_hash", "r.*")
-    near = sent.join(hint(names), "name", "left_semi").select("doc_id", "text_hash", "m", F.posexplode("windows").alias("i", "window"), "start")
+    near = sent.join(hint(names), "name", "left_semi").select("doc_id", "text_hash", "m", F.posexplode(windows_of(F.col("m"), F.col("grams"))).alias("i", "window"), "start")
     hits = near.select("doc_id", "text_hash", "m", (F.col("start") + F.col("i")).alias("start"), "window").join(hint(windows.select("window").distinct()), "window", "left_semi").distinct()
     # Used twice below; the scan of the texts runs once.
     hits = stored(hits, "hits")

@@ -10,8 +10,11 @@ least 3/4. All links are found, none is enumerated twice over:
 3. The token-group matrix has an entry (token, group) for the tokens that the
    members of the group have in their prefix, the first tokens in one global
    order. Linked sets x and y share at least min(l(x), l(y)) prefix tokens, where
-   a prefix is |x| - ceil(3/4 |x|) + l(x) tokens long and l(x) = max(1, |x| // 20).
-   The union of a group's prefixes bounds the overlap of all its members.
+   a prefix is |x| - ceil(3/4 |x|) + l(x) tokens long and l(x) at most max(1, |x| // 20).
+   The union of a group's prefixes bounds the overlap of all its members. Of two
+   sets the smaller one must even have those tokens in its short prefix, of
+   |x| - ceil(6/7 |x|) + l(x) tokens, so an entry knows the sizes it comes from
+   and whether it is short; other pairs of entries don't count.
 4. Pairs of groups that share that many matrix entries qualify and are opened:
    a member that shares too little with the other group's whole token union is
    skipped, the others are compared set by set until one link is found.
@@ -28,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, stored, table
+from .common import components, released, slices, stored, table
 
 WORDS = 5
 #: Similarity at least THRESHOLD[0] / THRESHOLD[1].
@@ -40,7 +43,9 @@ HASHES, KEYS, AGREE = 16, 6, 10
 GROUP = 48
 #: Every so many-th document (by hash) is looked at for frequent tokens; from this count on, and at most so many.
 HOT_SHARE, HOT_COUNT, HOT_MAX = 16, 4, 200_000
-TOKENS_PER_BUCKET = 600_000
+TOKENS_PER_BUCKET, TOKENS_AT_ONCE, PAIRS_AT_ONCE = 300_000, 500_000, 400_000
+#: Documents that are hashed before a batch is handed on.
+ROWS = 500
 BROADCAST_BYTES = 32 << 20
 
 _MIX = np.random.default_rng(11).integers(1, 1 << 62, HASHES, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -80,24 +85,36 @@ def need(n):
     return (a * n + b - 1) // b
 
 
+def need_larger(n):
+    """Tokens that a set must share with any set it links with that isn't smaller."""
+    a, b = THRESHOLD
+    return (2 * a * n + a + b - 1) // (a + b)
+
+
 def extra(n):
     return max(1, n // EXTRA)
 
 
-def prefix(tokens: np.ndarray, hot: np.ndarray, hot_rank: np.ndarray) -> np.ndarray:
-    """First tokens in the global order: the others by hash, then the hot ones, the hottest last."""
+def prefix(tokens: np.ndarray, hot: np.ndarray, hot_rank: np.ndarray) -> tuple[np.ndarray, int]:
+    """(first tokens in the global order, l): the others by hash, then the hot ones, the hottest last.
+
+    l is extra(n), or less if the prefix would reach beyond its least length into
+    the hot tokens: they are shared by many sets that don't link.
+    """
     n = len(tokens)
-    size = min(n, n - need(n) + extra(n))
-    if not len(hot):
-        return tokens[:size]
+    least = n - need(n)
+    size = min(n, least + extra(n))
+    if not n or not len(hot):
+        return tokens[:size], size - least
     at = np.minimum(np.searchsorted(hot, tokens), len(hot) - 1)
     is_hot = hot[at] == tokens
     cold = tokens[~is_hot]
+    size = min(size, max(least + 1, len(cold)))
     if len(cold) >= size:
-        return cold[:size]
+        return cold[:size], size - least
     late = tokens[is_hot]
     late = late[np.argsort(hot_rank[at[is_hot]], kind="stable")]
-    return np.concatenate([cold, late])[:size]
+    return np.concatenate([cold, late])[:size], size - least
 
 
 def linked(x: np.ndarray, y: np.ndarray) -> bool:
@@ -121,24 +138,24 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-_DEAL = "bucket int, tokens binary, owners binary, labels binary"
+_DEAL = "bucket int, tokens binary, owners binary, labels binary, sizes binary"
 
 
-def _deal(buckets: int, tokens: np.ndarray, owners: np.ndarray, labels: np.ndarray) -> pa.RecordBatch:
-    """Matrix entries packed by bucket of their token."""
+def _deal(buckets: int, tokens: np.ndarray, owners: np.ndarray, labels: np.ndarray, sizes: np.ndarray) -> pa.RecordBatch:
+    """Matrix entries packed by bucket of their token; sizes are 2 |x|, and 1 more for a short entry."""
     bucket = (tokens >> np.uint64(40)) % np.uint64(buckets)
     by = np.argsort(bucket.astype(np.int32), kind="stable")
     cut = np.searchsorted(bucket[by], np.arange(buckets + 1).astype(np.uint64))
-    rows = [[], [], [], []]
+    rows = [[], [], [], [], []]
     for k in np.flatnonzero(np.diff(cut)):
         s = by[cut[k] : cut[k + 1]]
-        for col, x in zip(rows, (int(k), tokens[s].tobytes(), owners[s].tobytes(), (labels[s] - owners[s]).tobytes()), strict=True):
+        for col, x in zip(rows, (int(k), tokens[s].tobytes(), owners[s].tobytes(), (labels[s] - owners[s]).tobytes(), sizes[s].astype(np.int32).tobytes()), strict=True):
             col.append(x)
     return _batch(_DEAL, rows)
 
 
 def _gather(group: pa.Table) -> list[np.ndarray]:
-    return [np.frombuffer(b"".join(group.column(c).to_pylist()), t) for c, t in (("tokens", np.uint64), ("owners", np.int64), ("labels", np.int64))]
+    return [np.frombuffer(b"".join(group.column(c).to_pylist()), t) for c, t in (("tokens", np.uint64), ("owners", np.int64), ("labels", np.int64), ("sizes", np.int32))]
 
 
 def frequent_tokens(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -150,14 +167,14 @@ def frequent_tokens(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def tokens(batches):
-        for b in batches:
+        for b in (part for batch in released(batches) for part in slices(batch, ROWS)):
             sets = [shingles(t) for t in b.column("text").to_pylist()]
             if sets:
                 t, n = np.unique(np.concatenate(sets), return_counts=True)
-                yield _deal(buckets, t, n.astype(np.int64), n.astype(np.int64))
+                yield _deal(buckets, t, n.astype(np.int64), n.astype(np.int64), np.zeros(len(t)))
 
     def count(group: pa.Table) -> pa.Table:
-        t, n, _ = _gather(group)
+        t, n, _, _ = _gather(group)
         t, back = np.unique(t, return_inverse=True)
         n = np.bincount(back, n).astype(np.int64)
         keep = n >= HOT_COUNT
@@ -177,7 +194,7 @@ def _small(rows: int, width: int, df: DataFrame) -> DataFrame:
     return F.broadcast(df) if rows * width <= BROADCAST_BYTES else df
 
 
-_SKETCH = "doc_id long, n_shingles long, set_key binary, hashes binary, prefix binary"
+_SKETCH = "doc_id long, n_shingles long, set_key binary, hashes binary, prefix binary, least long"
 
 
 def sketch(docs: DataFrame) -> DataFrame:
@@ -186,11 +203,12 @@ def sketch(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         tokens, rank = hot.value
-        for b in batches:
-            rows = [[], [], [], [], []]
+        for b in (part for batch in released(batches) for part in slices(batch, ROWS)):
+            rows = [[], [], [], [], [], []]
             for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
                 t = shingles(text.as_py())
-                got = (doc, len(t), xxhash.xxh3_128_digest(t.tobytes()), minhashes(t).tobytes() if len(t) else b"", prefix(t, tokens, rank).tobytes())
+                first, least = prefix(t, tokens, rank)
+                got = (doc, len(t), xxhash.xxh3_128_digest(t.tobytes()), minhashes(t).tobytes() if len(t) else b"", first.tobytes(), least)
                 for col, x in zip(rows, got, strict=True):
                     col.append(x)
             yield _batch(_SKETCH, rows)
@@ -202,7 +220,7 @@ def _sets(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
     """(doc, tokens) of the documents named by ids(doc), computed anew from their texts."""
 
     def run(batches):
-        for b in batches:
+        for b in (part for batch in released(batches) for part in slices(batch, ROWS)):
             yield _batch("doc long, tokens binary", [b.column("doc_id").to_pylist(), [shingles(t.as_py()).tobytes() for t in b.column("text")]])
 
     wanted = docs.select("doc_id", "text").join(_small(n, 40, ids.select(F.col("doc").alias("doc_id"))), "doc_id", "left_semi")
@@ -237,7 +255,7 @@ def _bucket_links(docs: DataFrame, heads: DataFrame) -> DataFrame:
     sets = stored(_sets(docs, ids, ids.count()), "sets")
 
     def verify(batches):
-        for b in batches:
+        for b in released(batches):
             keep = [linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(b.column("ta").to_pylist(), b.column("tb").to_pylist(), strict=True)]
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
@@ -246,7 +264,7 @@ def _bucket_links(docs: DataFrame, heads: DataFrame) -> DataFrame:
 
 
 def make_groups(docs: DataFrame, heads: DataFrame) -> DataFrame:
-    """(doc, n, grp, label) for heads(doc, n, hashes): label is the smallest member that bucket links reach."""
+    """(doc, n, least, grp, label) for heads(doc, n, least, hashes): label is the smallest member that bucket links reach."""
     label = components(_bucket_links(docs, heads))
     sizes = label.groupBy("comp").agg(F.count("*").alias("size"))
     # Parts of a component of about GROUP members each, by hash.
@@ -254,26 +272,34 @@ def make_groups(docs: DataFrame, heads: DataFrame) -> DataFrame:
     parts = label.join(sizes, "comp").select("node", "comp", part.alias("part"))
     names = parts.groupBy("comp", "part").agg(F.min("node").alias("grp"))
     grouped = parts.join(names, ["comp", "part"]).select(F.col("node").alias("doc"), "grp", F.col("comp").alias("label"))
-    joined = heads.select("doc", "n").join(grouped, "doc", "left")
-    return stored(joined.select("doc", "n", F.coalesce("grp", "doc").alias("grp"), F.coalesce("label", "doc").alias("label")), "groups")
+    joined = heads.select("doc", "n", "least").join(grouped, "doc", "left")
+    return stored(joined.select("doc", "n", "least", F.coalesce("grp", "doc").alias("grp"), F.coalesce("label", "doc").alias("label")), "groups")
+
+
+_NEVER = np.int32(1 << 30)
 
 
-def _run_pairs(owner: np.ndarray, label: np.ndarray, begin: np.ndarray, size: np.ndarray):
-    """Pairs of owners of different labels within runs, in parts of bounded size."""
+def _run_pairs(e: dict[str, np.ndarray], begin: np.ndarray, size: np.ndarray):
+    """Pairs of entries within runs that may belong to linked sets, in parts of bounded size."""
     a_out, b_out, held = [], [], 0
+    s, t = THRESHOLD
     for k in np.unique(size):
         i, j = np.triu_indices(int(k), 1)
-        step = max(1, 2_000_000 // len(i))
+        step = max(1, PAIRS_AT_ONCE // len(i))
         at = begin[size == k]
         for lo in range(0, len(at), step):
             base = at[lo : lo + step, None]
             x, y = (base + i).ravel(), (base + j).ravel()
-            keep = label[x] != label[y]
-            x, y = x[keep], y[keep]
-            a_out.append(np.minimum(owner[x], owner[y]))
-            b_out.append(np.maximum(owner[x], owner[y]))
+            fits = (e["label"][x] != e["label"][y]) & (t * e["high"][x] >= s * e["low"][y]) & (t * e["high"][y] >= s * e["low"][x])
+            x, y = x[fits], y[fits]
+            # The smaller set has the token in its short prefix; of equally large ones both have.
+            sx, sy, hx, hy = e["short"][x], e["short"][y], e["high"][x], e["high"][y]
+            fits = (sx < hy) | (sy < hx) | ((sx <= hy) & (sy <= hx))
+            x, y = e["owner"][x[fits]], e["owner"][y[fits]]
+            a_out.append(np.minimum(x, y))
+            b_out.append(np.maximum(x, y))
             held += len(x)
-            if held > 4_000_000:
+            if held > 2 * PAIRS_AT_ONCE:
                 yield np.concatenate(a_out), np.concatenate(b_out)
                 a_out, b_out, held = [], [], 0
     if held:
@@ -282,19 +308,20 @@ def _run_pairs(owner: np.ndarray, label: np.ndarray, begin: np.ndarray, size: np
 
 def _overlaps(group: pa.Table) -> pa.Table:
     """(a, b, shared) for pairs of groups of different labels that share entries of this bucket."""
-    t, owner, label = _gather(group)
-    label = label + owner
+    t, owner, label, sizes = _gather(group)
     by = np.lexsort((owner, t))
-    t, owner, label = t[by], owner[by], label[by]
+    t, owner, label, sizes = t[by], owner[by], (label + owner)[by], sizes[by]
+    e = {}
     if len(t):
-        new = np.append(True, (t[1:] != t[:-1]) | (owner[1:] != owner[:-1]))
-        t, owner, label = t[new], owner[new], label[new]
+        first = np.flatnonzero(np.append(True, (t[1:] != t[:-1]) | (owner[1:] != owner[:-1])))
+        n = sizes // 2
+        e = {"low": np.minimum.reduceat(n, first), "high": np.maximum.reduceat(n, first), "short": np.minimum.reduceat(np.where(sizes % 2 == 1, n, _NEVER), first)}
+        t, e["owner"], e["label"] = t[first], owner[first], label[first]
     edge = np.flatnonzero(np.append(True, t[1:] != t[:-1])) if len(t) else np.zeros(0, np.int64)
     size = np.diff(np.append(edge, len(t)))
     many = size > 1
-    edge, size = edge[many], size[many]
     sums: list[tuple] = []
-    for a, b in _run_pairs(owner, label, edge, size):
+    for a, b in _run_pairs(e, edge[many], size[many]):
         by = np.lexsort((b, a))
         a, b = a[by], b[by]
         at = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
@@ -308,29 +335,31 @@ def qualifying(sketches: DataFrame, groups: DataFrame, n_groups: int) -> DataFra
     entries = groups.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"] // 3
     buckets = max(int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions")), entries // TOKENS_PER_BUCKET)
     side = _small(n_groups, 60, groups.select(F.col("doc").alias("doc_id"), "grp", "label"))
-    rows = sketches.select("doc_id", "prefix").join(side, "doc_id").select("prefix", "grp", "label")
+    rows = sketches.select("doc_id", "prefix", "n_shingles", "least").join(side, "doc_id").select("prefix", "n_shingles", "least", "grp", "label")
 
     def pack(batches):
         held, size = [], 0
-        for b in batches:
-            for p, g, lab in zip(b.column("prefix").to_pylist(), b.column("grp").to_pylist(), b.column("label").to_pylist(), strict=True):
+        for b in released(batches):
+            for p, *row in zip(*(b.column(c).to_pylist() for c in ("prefix", "n_shingles", "least", "grp", "label")), strict=True):
                 t = np.frombuffer(p, np.uint64)
-                held.append((t, g, lab))
+                held.append((t, *row))
                 size += len(t)
-                if size >= 2_000_000:
+                if size >= TOKENS_AT_ONCE:
                     yield entries_of(held)
                     held, size = [], 0
         if held:
             yield entries_of(held)
 
     def entries_of(held):
-        counts = [len(t) for t, _, _ in held]
-        return _deal(buckets, np.concatenate([t for t, _, _ in held]), np.repeat(np.array([g for _, g, _ in held], np.int64), counts), np.repeat(np.array([x for _, _, x in held], np.int64), counts))
+        counts = [len(r[0]) for r in held]
+        n, least, grp, label = (np.repeat(np.array([r[k] for r in held], np.int64), counts) for k in (1, 2, 3, 4))
+        place = np.arange(sum(counts)) - np.repeat(np.cumsum(counts) - counts, counts)
+        short = place < n - need_larger(n) + least
+        return _deal(buckets, np.concatenate([r[0] for r in held]), grp, label, 2 * n + short)
 
     shared = rows.mapInArrow(pack, _DEAL).groupBy("bucket").applyInArrow(_overlaps, "a long, b long, shared long")
     shared = shared.groupBy("a", "b").agg(F.sum("shared").alias("shared"))
-    least = F.greatest(F.lit(1).cast("long"), F.floor(F.col("n") / EXTRA))
-    bounds = groups.groupBy("grp").agg(F.min(least).alias("least"), F.min("n").alias("low"), F.max("n").alias("high"))
+    bounds = groups.groupBy("grp").agg(F.min("least").alias("least"), F.min("n").alias("low"), F.max("n").alias("high"))
     one = bounds.select(F.col("grp").alias("a"), F.col("least").alias("la"), F.col("low").alias("wa"), F.col("high").alias("ha"))
     two = bounds.select(F.col("grp").alias("b"), F.col("least").alias("lb"), F.col("low").alias("wb"), F.col("high").alias("hb"))
     s, t = THRESHOLD
@@ -349,7 +378,7 @@ def open_groups(docs: DataFrame, groups: DataFrame, pairs: DataFrame) -> DataFra
         return [(r["doc"], np.frombuffer(r["tokens"], np.uint64)) for r in cell.as_py()]
 
     def compare(batches):
-        for b in batches:
+        for b in released(batches):
             xs, ys = [], []
             for one, two in zip(b.column("xs"), b.column("ys"), strict=True):
                 left, right = read(one), read(two)
@@ -382,7 +411,7 @@ def link_components(docs: DataFrame) -> DataFrame:
     sketches = stored(sketch(docs), "sketches")
     classes = stored(sketches.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("doc")), "classes")
     n_classes = classes.count()
-    heads = sketches.select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"), "hashes", "set_key").join(_small(n_classes, 80, classes), ["set_key", "doc"], "left_semi").dropDuplicates(["doc"]).select("doc", "n", "hashes")
+    heads = sketches.select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"), "least", "hashes", "set_key").join(_small(n_classes, 80, classes), ["set_key", "doc"], "left_semi").dropDuplicates(["doc"]).select("doc", "n", "least", "hashes")
     heads = stored(heads, "heads")
     groups = make_groups(docs, heads)
     links = open_groups(docs, groups, qualifying(sketches, groups, n_classes))

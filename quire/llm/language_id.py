@@ -19,13 +19,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import released, slices, table
 
 WINDOW = 128
 HIDDEN = 8
 BATCH = 2048
 PAD = 256
 UNKNOWN = "und"
+#: Texts that are read together.
+ROWS = 400
 
 #: Bounds of the sample that is fitted: documents for each language, languages, windows for each document.
 DOCS_PER_LANG, MAX_LANGS, WINDOWS_PER_DOC = 400, 100, 6
@@ -256,9 +258,6 @@ def train(docs: DataFrame) -> Model | None:
     return fit([bytes(c) for r in got for c in r["cuts"]], [r["lang"] for r in got for _ in r["cuts"]], prior=prior)
 
 
-_READERS: dict[str, Reader] = {}
-
-
 def _has_letter(text: str) -> bool:
     return any(map(str.isalpha, text))
 
@@ -278,19 +277,13 @@ def predict(docs: DataFrame, model: Model | None, extra: bool = False) -> DataFr
 
     def run(batches):
         reader = Reader(shared.value) if shared.value is not None else None
-        for b in batches:
+        # A bounded number of texts, and of their bytes, at a time.
+        for b in (part for batch in released(batches) for part in slices(batch, ROWS)):
             texts = b.column(b.schema.get_field_index("text")).to_pylist()
             lang, score = [UNKNOWN] * len(texts), [0.0] * len(texts)
             readable = [i for i, t in enumerate(texts) if t and _has_letter(t)] if reader else []
-            # A bounded number of bytes at a time.
-            at = 0
-            while at < len(readable):
-                part, size = [], 0
-                while at < len(readable) and (not part or size < 4_000_000):
-                    part.append(readable[at])
-                    size += len(texts[readable[at]])
-                    at += 1
-                for i, p in zip(part, reader.pooled([texts[i].encode() for i in part]), strict=True):
+            if readable:
+                for i, p in zip(readable, reader.pooled([texts[i].encode() for i in readable]), strict=True):
                     k = int(p.argmax())
                     lang[i], score[i] = reader.langs[k], min(1.0, float(p[k]))
             kept = [b.column(b.schema.get_field_index(c)) for c in cols]

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import released, slices, stored, table
 
 #: The kinds in their order, and the base patterns of the contract.
 KINDS = ("assign", "access", "hex", "private_key", "web_token", "provider_key")
@@ -60,7 +60,7 @@ def written(spans: list[tuple[int, int, int]]) -> str:
 
 
 def _scan(batches):
-    for batch in batches:
+    for batch in (part for b in released(batches) for part in slices(b, 1000)):
         out = []
         for blob, text in zip(batch.column("blob").to_pylist(), batch.column("text").to_pylist(), strict=True):
             spans = find_spans(text or "")
@@ -142,7 +142,7 @@ def redact_secrets(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     columns, schema = docs.columns, docs.schema
 
     def cut(batches):
-        for batch in batches:
+        for batch in released(batches):
             at = batch.schema.get_field_index("text")
             flags, texts = batch.column(batch.schema.get_field_index("__hit")).to_pylist(), batch.column(at).to_pylist()
             for i, (hit, text) in enumerate(zip(flags, texts, strict=True)):

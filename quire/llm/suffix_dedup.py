@@ -29,11 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import released, stored, table
 
 LENGTH, GRAM = 100, 32
 #: Bytes of text that are hashed at once, and that make a batch.
-CHUNK, BATCH_BYTES = 1 << 20, 24 << 20
+CHUNK, BATCH_BYTES = 1 << 20, 8 << 20
 #: Suffixes that are sorted at once, if the hashes let them be parted.
 SORTED_AT_ONCE = 300_000
 #: Anchors in a bucket of the first shuffle, strings in a bucket of the second.
@@ -249,7 +249,7 @@ RANGE = "<i4 <i4"  # first and last start
 def _texts(batches):
     """Lists of (doc_id, bytes) of about BATCH_BYTES."""
     rows, size = [], 0
-    for b in batches:
+    for b in released(batches):
         for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
             data = (text.as_py() or "").encode()
             if len(data) >= LENGTH:
@@ -273,12 +273,12 @@ def _first_pass(buckets: int):
             h, first, count = anchors(data, ends)
             # Rows of one document share its number, so a repeated row repeats nothing.
             same = np.concatenate([[False], docs[1:] == docs[:-1]])
-            place = np.arange(len(data))
+            place = np.arange(len(data), dtype=np.int32)
             if same.any():
-                shift = np.zeros(len(rows), np.int64)
+                shift = np.zeros(len(rows), np.int32)
                 for i in np.flatnonzero(same):
                     shift[i] = sizes[i - 1] + shift[i - 1]
-                place = place - np.repeat(shift, sizes)
+                place -= np.repeat(shift, sizes)
             gone = mark_batch(data, h, first, count, place)
             starts = ends - sizes
             out_bucket, out_blob, out_doc = [], [], []
@@ -291,11 +291,11 @@ def _first_pass(buckets: int):
                     out_doc.append(int(docs[i]))
                     out_blob.append(_pack((lo[s] - starts[i]).astype(np.int32), (hi[s] - 1 - starts[i]).astype(np.int32)))
             # Runs that have a string left go on, from the first such string to the last.
-            left = np.append(np.cumsum(~gone), 0)
+            left = np.append(np.cumsum(~gone, dtype=np.int32), np.int32(0))
             before = np.where(first > 0, left[first - 1], 0)
             alive = left[first + count - 1] > before
             first, count, h, before = first[alive], count[alive], h[alive], before[alive]
-            stay = np.flatnonzero(~gone)
+            stay = np.flatnonzero(~gone).astype(np.int32)
             upto = left[first + count - 1]
             f, last = stay[before], stay[upto - 1]
             owner = np.searchsorted(ends, f, "right")
@@ -354,7 +354,7 @@ def _cut_strings(buckets: int):
             for x in held:
                 x.clear()
 
-        for b in batches:
+        for b in released(batches):
             for text, blobs in zip(b.column("text"), b.column("blobs"), strict=True):
                 data = np.frombuffer((text.as_py() or "").encode(), np.uint8)
                 h, doc, first, count = (np.concatenate(c) for c in zip(*(_unpack(x, ANCHOR) for x in blobs.as_py()), strict=True))
@@ -421,7 +421,7 @@ def kept_bytes(data: bytes, low: np.ndarray, high: np.ndarray) -> tuple[bytes, i
 
 
 def _digest(batches):
-    for b in batches:
+    for b in released(batches):
         out = []
         for doc, text, marks, ranges in zip(b.column("doc_id").to_pylist(), b.column("text"), b.column("marks"), b.column("ranges"), strict=True):
             data = (text.as_py() or "").encode()
