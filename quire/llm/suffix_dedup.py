@@ -38,7 +38,7 @@ CHUNK, BATCH_BYTES = 1 << 20, 8 << 20
 SORTED_AT_ONCE = 300_000
 #: Anchors in a bucket of the first shuffle, strings in a bucket of the second.
 ANCHORS_PER_BUCKET, STRINGS_PER_BUCKET = 250_000, 1_000_000
-#: Sides up to so many bytes are broadcast to the texts; larger ones are shuffled with them.
+#: Removed ranges up to so many bytes are broadcast to the texts; more are shuffled with them.
 BROADCAST_BYTES = 32 << 20
 
 _RNG = np.random.default_rng(2024)
@@ -435,40 +435,31 @@ def _digest(batches):
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def repeated_ranges(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(firsts, found): the first document of each text, and found(doc, marks, ranges).
+def repeated_ranges(docs: DataFrame) -> DataFrame:
+    """(doc, marks, ranges) of the documents with a repeated string.
 
     marks are packed runs of string starts from the batches and ranges those from
-    the buckets; a string that starts in one of them starts earlier too. Copies
-    of a whole text aren't looked into: only the first of them is.
+    the buckets; a string that starts in one of them starts earlier too.
     """
     spark = docs.sparkSession
-    text = F.coalesce(F.col("text"), F.lit(""))
-    keys = docs.select("doc_id", F.sha2(text.cast("binary"), 256).alias("sha"), F.octet_length(text).alias("size"))
-    firsts = stored(keys.groupBy("sha").agg(F.min("doc_id").alias("doc_id"), F.first("size").alias("size")), "firsts")
-    total = firsts.agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")).first()
+    texts = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = max(least, total["bytes"] // 35 // ANCHORS_PER_BUCKET)
-
-    ids = firsts.select("sha", "doc_id")
-    ids = F.broadcast(ids) if total["n"] * 100 <= BROADCAST_BYTES else ids
-    texts = docs.select("doc_id", text.alias("text"), F.sha2(text.cast("binary"), 256).alias("sha")).join(ids, ["doc_id", "sha"], "left_semi").select("doc_id", "text")
+    n_bytes = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
+    buckets = max(least, n_bytes // 35 // ANCHORS_PER_BUCKET)
     sent = texts.mapInArrow(_first_pass(buckets), "bucket int, doc long, blob binary")
     met = stored(sent.groupBy("bucket").applyInArrow(_meet, "doc long, kind string, blob binary"), "anchors")
 
     width = sum(np.dtype(k).itemsize for k in ANCHOR.split())
-    shared = met.where("kind = 'meet'").groupBy("doc").agg(F.collect_list("blob").alias("blobs"))
-    n_bytes = met.where("kind = 'meet'").agg(F.coalesce(F.sum(F.octet_length("blob")), F.lit(0)).alias("n")).first()["n"]
-    sorted_buckets = max(least, n_bytes // width * 20 // STRINGS_PER_BUCKET)
-    side = shared.withColumnRenamed("doc", "doc_id")
-    side = F.broadcast(side) if n_bytes <= BROADCAST_BYTES else side
-    strings = texts.join(side, "doc_id").select("text", "blobs").mapInArrow(_cut_strings(sorted_buckets), "bucket int, head binary, bytes binary")
+    shared = met.where("kind = 'meet'").groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list("blob").alias("blobs"))
+    n_shared = met.where("kind = 'meet'").agg(F.coalesce(F.sum(F.octet_length("blob")), F.lit(0)).alias("n")).first()["n"] // width
+    sorted_buckets = max(least, n_shared * 20 // STRINGS_PER_BUCKET)
+    # The anchors follow the corpus, so texts and anchors meet by a shuffle at every size.
+    strings = texts.hint("merge").join(shared, "doc_id").select("text", "blobs").mapInArrow(_cut_strings(sorted_buckets), "bucket int, head binary, bytes binary")
     ranges = strings.groupBy("bucket").applyInArrow(_sort_bucket, "doc long, low int, high int")
 
     marks = met.where("kind = 'gone'").groupBy("doc").agg(F.collect_list("blob").alias("marks"))
     by_doc = ranges.groupBy("doc").agg(F.collect_list(F.struct("low", "high")).alias("ranges"))
-    found = marks.join(by_doc, "doc", "full").select("doc", "marks", "ranges")
-    return firsts, stored(found, "ranges")
+    return stored(marks.join(by_doc, "doc", "full").select("doc", "marks", "ranges"), "ranges")
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -478,24 +469,18 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     with equal texts all but the one of smallest doc_id lose everything. Repeated
     rows of one document get the same answer. doc_id names one text.
     """
-    firsts, found = repeated_ranges(docs)
+    state = repeated_ranges(docs).withColumnRenamed("doc", "doc_id")
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select("doc_id", text.alias("text"), F.sha2(text.cast("binary"), 256).alias("sha"), F.octet_length(text).cast("long").alias("n_bytes"))
-    heads = rows.select("doc_id", "sha", "n_bytes").join(firsts.select("sha", F.col("doc_id").alias("first")), "sha")
-    copies = heads.where((F.col("doc_id") > F.col("first")) & (F.col("n_bytes") >= LENGTH)).select("doc_id", F.lit(True).alias("copy"))
-    state = found.withColumnRenamed("doc", "doc_id").join(copies.dropDuplicates(["doc_id"]), "doc_id", "full")
-    state = stored(state.select("doc_id", "marks", "ranges", F.coalesce("copy", F.lit(False)).alias("copy")), "state")
+    rows = docs.select("doc_id", text.alias("text"))
     size = state.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.coalesce(F.aggregate("marks", F.lit(0), lambda a, x: a + F.octet_length(x)), F.lit(0)) + 8 * F.greatest(F.size("ranges"), F.lit(0))), F.lit(0)).alias("bytes")).first()
     side = F.broadcast(state) if size["n"] * 60 + size["bytes"] <= BROADCAST_BYTES else state
     joined = rows.join(side, "doc_id", "left")
     touched = F.col("marks").isNotNull() | F.col("ranges").isNotNull()
-    plain = joined.where(~touched | F.coalesce("copy", F.lit(False))).select(
-        "doc_id", "n_bytes",
-        F.when(F.col("copy"), F.col("n_bytes")).otherwise(F.lit(0)).cast("long").alias("n_removed"),
-        F.when(F.col("copy"), F.lit(1)).otherwise(F.lit(0)).cast("long").alias("n_spans"),
-        F.when(F.col("copy"), F.sha2(F.lit("").cast("binary"), 256)).otherwise(F.col("sha")).alias("kept_sha256"),
+    plain = joined.where(~touched).select(
+        "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"),
+        F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"),
     )
-    cut = joined.where(touched & ~F.coalesce("copy", F.lit(False))).select("doc_id", "text", "marks", "ranges")
+    cut = joined.where(touched).select("doc_id", "text", "marks", "ranges")
     return plain.unionByName(cut.mapInArrow(_digest, plain.schema))
 
 
