@@ -24,7 +24,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import released, table
+from .common import slices, table, trim
 
 SHORT = 48
 #: Words and chunks remembered by a worker; a full memory becomes the old one, which the next replaces.
@@ -67,10 +67,10 @@ class WordBpe:
         self.text_of_id = {i: str(i) for i in self.token}
         self.letters = byte_letters()
         self.cut = re.compile("|".join(sorted(map(re.escape, self.special), key=len, reverse=True))) if self.special else None
-        self.by_word: dict[str, list[int]] = {}
-        self.by_chunk: dict[str, list[int]] = {}
-        self.old_words: dict[str, list[int]] = {}
-        self.old_chunks: dict[str, list[int]] = {}
+        self.by_word: dict[str, tuple[int, ...]] = {}
+        self.by_chunk: dict[str, tuple[int, ...]] = {}
+        self.old_words: dict[str, tuple[int, ...]] = {}
+        self.old_chunks: dict[str, tuple[int, ...]] = {}
 
     def merge(self, word: str) -> list[str]:
         """Parts of word, a string of byte letters, with the end mark on the last."""
@@ -115,25 +115,28 @@ class WordBpe:
                     heapq.heappush(heap, (r, x, parts[x], parts[y]))
         return [p for p in parts if p is not None]
 
-    def word(self, word: str) -> list[int]:
+    def word(self, word: str) -> tuple[int, ...]:
         ids = self.by_word.get(word)
         if ids is None:
             ids = self.old_words.get(word)
             if ids is None:
                 letters = self.letters
-                ids = [self.vocab[p] for p in self.merge("".join([letters[b] for b in word.encode()]))]
+                ids = tuple(self.vocab[p] for p in self.merge("".join([letters[b] for b in word.encode()])))
             if len(self.by_word) >= MEMORY:
                 self.old_words, self.by_word = self.by_word, {}
             self.by_word[word] = ids
         return ids
 
-    def chunk(self, chunk: str) -> list[int]:
+    def chunk(self, chunk: str) -> tuple[int, ...]:
         """Ids of a run without white space."""
         ids = self.old_chunks.get(chunk)
         if ids is None:
             # Case is mapped letter by letter: a capital sigma has no final form here.
             small = chunk.lower() if chunk.isascii() else unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()
-            ids = list(chain.from_iterable(map(self.word, self.split(small))))
+            words = self.split(small)
+            if words == [chunk]:
+                words = [chunk]  # one string and one tuple serve both memories
+            ids = self.word(words[0]) if len(words) == 1 else tuple(chain.from_iterable(map(self.word, words)))
         if len(self.by_chunk) >= MEMORY:
             self.old_chunks, self.by_chunk = self.by_chunk, {}
         self.by_chunk[chunk] = ids
@@ -158,15 +161,16 @@ class WordBpe:
         return ids
 
     def forget(self) -> None:
-        """Drop the older half of what is remembered; called at the end of a task."""
-        self.old_words, self.old_chunks = {}, {}
+        """Drop what is remembered, at the end of a task: a new one fills its memory within seconds."""
+        self.by_word, self.by_chunk, self.old_words, self.old_chunks = {}, {}, {}, {}
+        trim()
 
     def decode(self, ids: list[int]) -> str:
         """The tokens joined by spaces: the file names no decoder."""
         return " ".join(map(self.token.__getitem__, ids))
 
 
-#: The coder of this worker process; it outlives a task, and so do its remembered words.
+#: The coder of this worker process; it outlives a task, what it remembers doesn't.
 _CODER: dict[str, WordBpe] = {}
 
 
@@ -191,7 +195,7 @@ def encode_texts(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches):
         bpe = get()
-        for b in released(batches):
+        for b in (part for batch in batches for part in slices(batch, 1000)):
             ids = [bpe.encode(t or "") for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
         bpe.forget()
@@ -205,7 +209,7 @@ def decode_ids(encoded: DataFrame, path: str) -> DataFrame:
 
     def run(batches):
         bpe = get()
-        for b in released(batches):
+        for b in (part for batch in batches for part in slices(batch, 1000)):
             texts = [bpe.decode(i or []) for i in b.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(texts, pa.string())], ["doc_id", "text"])
 
@@ -224,7 +228,7 @@ def digest_tokens(docs: DataFrame, path: str) -> DataFrame:
     def run(batches):
         bpe = get()
         shown = bpe.text_of_id.__getitem__
-        for b in released(batches):
+        for b in (part for batch in batches for part in slices(batch, 1000)):
             n, ids_sha, text_sha = [], [], []
             for t in b.column("text"):
                 ids = bpe.encode(t.as_py() or "")

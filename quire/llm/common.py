@@ -52,9 +52,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def released(batches):
-    """batches, and at their end give freed memory back to the machine; a worker outlives its task."""
-    yield from batches
+def trim() -> None:
+    """Give freed memory back to the machine: a worker outlives its task."""
     import ctypes
 
     import pyarrow as pa
@@ -66,6 +65,12 @@ def released(batches):
         pass
 
 
+def released(batches):
+    """batches, and a trim at their end."""
+    yield from batches
+    trim()
+
+
 def slices(batch, rows: int):
     """A record batch in parts of at most that many rows."""
     for at in range(0, batch.num_rows, rows):
