@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-GROUPS = ("text", "tables", "scan", "redact", "layout")
+GROUPS = ("text", "tables", "scan", "redact", "layout", "document")
 
 
 def _groups():
