@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import released, stored, table
+from .common import released, small_batches, stored, table
 
 LENGTH, GRAM = 100, 32
 #: Bytes of text that are hashed at once, and that make a batch.
@@ -376,7 +376,7 @@ def _cut_strings(buckets: int):
 
 
 def _sort_bucket(group: pa.Table) -> pa.Table:
-    """Strings of a bucket that repeat an earlier one, as (doc, first, last)."""
+    """Strings of a bucket that repeat an earlier one, as packed RANGEs by document."""
     heads = [_unpack(b, ANCHOR) for b in group.column("head").to_pylist()]
     h, doc, first, count = (np.concatenate(c) for c in zip(*heads, strict=True))
     count = count.astype(np.int64)
@@ -384,7 +384,7 @@ def _sort_bucket(group: pa.Table) -> pa.Table:
     span = count + LENGTH - 1
     begin = np.cumsum(span) - span
     by = np.argsort(h, kind="stable")
-    docs, lows, highs = [], [], []
+    out_doc, out_blob = [], []
     for s in _pieces(h[by], count[by]):
         i = by[s]
         text, starts = _gathered(buf, begin[i], count[i])
@@ -395,19 +395,17 @@ def _sort_bucket(group: pa.Table) -> pa.Table:
         new = np.append(True, (owner[number][1:] != owner[number][:-1]) | (place[number][1:] != place[number][:-1]))
         order = np.empty(len(number), np.int64)
         order[number] = np.cumsum(new)
-        gone = repeats(text, starts, order)
-        if gone.any():
-            o, p = owner[gone], place[gone]
-            by2 = np.lexsort((p, o))
-            o, p = o[by2], p[by2]
-            cut = np.append(True, (o[1:] != o[:-1]) | (p[1:] > p[:-1] + 1))
-            at = np.flatnonzero(cut)
-            docs.append(o[at])
-            lows.append(p[at])
-            highs.append(p[np.append(at[1:], len(p)) - 1])
-    empty = [np.zeros(0, np.int64)]
-    d, lo, hi = (np.concatenate(x or empty) for x in (docs, lows, highs))
-    return pa.table({"doc": pa.array(d, pa.int64()), "low": pa.array(lo.astype(np.int32), pa.int32()), "high": pa.array(hi.astype(np.int32), pa.int32())})
+        gone = repeats(text, starts, order)[number]
+        o, p = owner[number][gone], place[number][gone].astype(np.int32)
+        if not len(o):
+            continue
+        at = np.flatnonzero(np.append(True, (o[1:] != o[:-1]) | (p[1:] > p[:-1] + 1)))
+        low, high, who = p[at], p[np.append(at[1:], len(p)) - 1], o[at]
+        begins = np.flatnonzero(np.append(True, who[1:] != who[:-1]))
+        for x, y in zip(begins, np.append(begins[1:], len(who)), strict=True):
+            out_doc.append(int(who[x]))
+            out_blob.append(_pack(low[x:y], high[x:y]))
+    return pa.table({"doc": pa.array(out_doc, pa.int64()), "blob": pa.array(out_blob, pa.binary())})
 
 
 def kept_bytes(data: bytes, low: np.ndarray, high: np.ndarray) -> tuple[bytes, int, int]:
@@ -423,12 +421,10 @@ def kept_bytes(data: bytes, low: np.ndarray, high: np.ndarray) -> tuple[bytes, i
 def _digest(batches):
     for b in released(batches):
         out = []
-        for doc, text, marks, ranges in zip(b.column("doc_id").to_pylist(), b.column("text"), b.column("marks"), b.column("ranges"), strict=True):
+        for doc, text, marks in zip(b.column("doc_id").to_pylist(), b.column("text"), b.column("marks"), strict=True):
             data = (text.as_py() or "").encode()
-            parts = [_unpack(x, RANGE) for x in marks.as_py() or ()]
-            low = [p[0] for p in parts] + [np.array([r["low"] for r in ranges.as_py() or ()], np.int32)]
-            high = [p[1] for p in parts] + [np.array([r["high"] for r in ranges.as_py() or ()], np.int32)]
-            left, n, runs = kept_bytes(data, np.concatenate(low).astype(np.int64), np.concatenate(high).astype(np.int64))
+            low, high = (np.concatenate(c).astype(np.int64) for c in zip(*(_unpack(x, RANGE) for x in marks.as_py()), strict=True))
+            left, n, runs = kept_bytes(data, low, high)
             out.append((doc, len(data), n, runs, hashlib.sha256(left).hexdigest()))
         cols = list(zip(*out, strict=True)) if out else [[]] * 5
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
@@ -436,11 +432,10 @@ def _digest(batches):
 
 
 def repeated_ranges(docs: DataFrame) -> DataFrame:
-    """(doc, marks, ranges) of the documents with a repeated string.
-
-    marks are packed runs of string starts from the batches and ranges those from
-    the buckets; a string that starts in one of them starts earlier too.
+    """(doc, marks) of the documents with a repeated string: packed RANGEs of the
+    starts of strings that start earlier too, from the batches and from the buckets.
     """
+    small_batches(docs.sparkSession)
     spark = docs.sparkSession
     texts = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -455,11 +450,9 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
     sorted_buckets = max(least, n_shared * 20 // STRINGS_PER_BUCKET)
     # The anchors follow the corpus, so texts and anchors meet by a shuffle at every size.
     strings = texts.hint("merge").join(shared, "doc_id").select("text", "blobs").mapInArrow(_cut_strings(sorted_buckets), "bucket int, head binary, bytes binary")
-    ranges = strings.groupBy("bucket").applyInArrow(_sort_bucket, "doc long, low int, high int")
-
-    marks = met.where("kind = 'gone'").groupBy("doc").agg(F.collect_list("blob").alias("marks"))
-    by_doc = ranges.groupBy("doc").agg(F.collect_list(F.struct("low", "high")).alias("ranges"))
-    return stored(marks.join(by_doc, "doc", "full").select("doc", "marks", "ranges"), "ranges")
+    ranges = strings.groupBy("bucket").applyInArrow(_sort_bucket, "doc long, blob binary")
+    found = met.where("kind = 'gone'").select("doc", "blob").unionByName(ranges)
+    return stored(found.groupBy("doc").agg(F.collect_list("blob").alias("marks")), "ranges")
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -472,15 +465,15 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     state = repeated_ranges(docs).withColumnRenamed("doc", "doc_id")
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", text.alias("text"))
-    size = state.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.coalesce(F.aggregate("marks", F.lit(0), lambda a, x: a + F.octet_length(x)), F.lit(0)) + 8 * F.greatest(F.size("ranges"), F.lit(0))), F.lit(0)).alias("bytes")).first()
-    side = F.broadcast(state) if size["n"] * 60 + size["bytes"] <= BROADCAST_BYTES else state
+    size = state.agg(F.coalesce(F.sum(F.lit(60) + F.aggregate("marks", F.lit(0), lambda a, x: a + F.octet_length(x) + 16)), F.lit(0)).alias("bytes")).first()["bytes"]
+    side = F.broadcast(state) if size <= BROADCAST_BYTES else state
     joined = rows.join(side, "doc_id", "left")
-    touched = F.col("marks").isNotNull() | F.col("ranges").isNotNull()
+    touched = F.col("marks").isNotNull()
     plain = joined.where(~touched).select(
         "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"),
         F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"),
     )
-    cut = joined.where(touched).select("doc_id", "text", "marks", "ranges")
+    cut = joined.where(touched).select("doc_id", "text", "marks")
     return plain.unionByName(cut.mapInArrow(_digest, plain.schema))
 
 
