@@ -6,8 +6,8 @@ of their host are its template. Pass two deletes them, together with elements
 whose tag, role or class says that they are no article text, and writes the
 blocks of what is left of the article.
 
-Paragraphs and headings inside an article are never taken for a template: a
-sentence that many articles quote is still text. Nor is a container that holds
+Paragraphs, headings, lists and tables inside an article are never taken for a
+template: a sentence that many articles quote is still text. Nor is a container that holds
 most of its article's text, so that copies of a page don't delete each other.
 """
 
@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import small_batches, stored, table
 
 #: A subtree is template from so many pages of its host on, and from this share of them.
 MIN_PAGES, MIN_SHARE = 5, 0.2
@@ -44,6 +44,8 @@ NO_CLASS = _WORDS(
     "signup sidebar sidenav menu nav navbar navigation breadcrumb breadcrumbs comment comments disqus replies share sharing social related recommended recommendations "
     "widget popup modal overlay footer masthead toolbar pagination pager login paywall"
 )
+#: Of an article only wrappers can be template: its lists, tables and paragraphs may be quoted by many pages.
+WRAPPERS = _WORDS("div section aside header footer details center hgroup address")
 #: An open element that ends where one of these begins.
 ENDS = {"li": _WORDS("li"), "dt": _WORDS("dt dd"), "dd": _WORDS("dt dd"), "tr": _WORDS("tr tbody tfoot"), "td": _WORDS("td th tr tbody tfoot"), "th": _WORDS("td th tr tbody tfoot"), "option": _WORDS("option")}
 #: Where the search for such an element stops.
@@ -162,8 +164,7 @@ def _elements(node: Node, inside: bool = False):
         if isinstance(c, str) or c.tag == "head":
             continue
         within = inside or c.tag in ("article", "main")
-        text_like = c.tag in ("p", "pre", "blockquote", "h1", "h2", "h3", "h4", "h5", "h6")
-        if c.tag in BLOCK and c.tag not in ("html", "body", "article", "main") and not (inside and text_like):
+        if c.tag in BLOCK and c.tag not in ("html", "body", "article", "main") and (not inside or c.tag in WRAPPERS):
             yield c
         yield from _elements(c, within)
 
@@ -224,7 +225,7 @@ def main_text(source: str, template: frozenset[int] | set[int] = frozenset()) ->
                     write(c)
 
     def recurs_here(n: Node) -> bool:
-        if in_article and n.tag in ("p", "pre", "blockquote", "h1", "h2", "h3", "h4", "h5", "h6"):
+        if in_article and n.tag not in WRAPPERS:
             return False
         return recurs(n, pick.size)
 
@@ -267,6 +268,7 @@ def extract(pages: DataFrame) -> DataFrame:
     A null page, and one without an article's text, has an empty text. Pages
     without a readable URL share the empty host. Repeated pages repeat.
     """
+    small_batches(pages.sparkSession)
     templates = stored(find_templates(pages), "templates")
     size = templates.agg(F.coalesce(F.sum(F.size("subtrees")), F.lit(0)).alias("n")).first()["n"]
     rows = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
