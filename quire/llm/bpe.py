@@ -24,11 +24,11 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import slices, table, trim
+from .common import slices, small_batches, table, trim
 
 SHORT = 48
 #: Words and chunks remembered by a worker; a full memory becomes the old one, which the next replaces.
-MEMORY = 200_000
+MEMORY = 100_000
 END = "</w>"
 _NO_RANK = 1 << 60
 #: White space of str.split() that the tokenizer's \s isn't.
@@ -183,6 +183,7 @@ def coder(name: str, data: dict) -> WordBpe:
 
 def _shared(docs: DataFrame, path: str):
     """A function that gives a worker its coder, made from broadcast data."""
+    small_batches(docs.sparkSession)
     data = load(path)
     name = hashlib.sha256(json.dumps([data["merges"], data["special"], data["pattern"]]).encode()).hexdigest()
     data = docs.sparkSession.sparkContext.broadcast(data)

@@ -52,6 +52,20 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a batch between Spark and Python: texts may be long, so few at a time.
+BATCH_ROWS = 1000
+_ROWS_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's rows of an Arrow batch, unless they were lowered already.
+
+    The default of 10,000 rows is hundreds of MB for long texts, on both sides.
+    """
+    if not 0 < int(spark.conf.get(_ROWS_KEY)) <= BATCH_ROWS:
+        spark.conf.set(_ROWS_KEY, BATCH_ROWS)
+
+
 def trim() -> None:
     """Give freed memory back to the machine: a worker outlives its task."""
     import ctypes

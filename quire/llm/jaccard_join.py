@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, released, slices, stored, table
+from .common import components, released, slices, small_batches, stored, table
 
 WORDS = 5
 #: Similarity at least THRESHOLD[0] / THRESHOLD[1].
@@ -199,6 +199,7 @@ _SKETCH = "doc_id long, n_shingles long, set_key binary, hashes binary, prefix b
 
 def sketch(docs: DataFrame) -> DataFrame:
     """One pass over the texts: set size, key of the set, minhashes and prefix of every document."""
+    small_batches(docs.sparkSession)
     hot = docs.sparkSession.sparkContext.broadcast(frequent_tokens(docs))
 
     def run(batches):

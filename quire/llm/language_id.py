@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import released, slices, table
+from .common import released, slices, small_batches, table
 
 WINDOW = 128
 HIDDEN = 8
@@ -273,6 +273,7 @@ def predict(docs: DataFrame, model: Model | None, extra: bool = False) -> DataFr
     clash = [c for c in cols if c in ("lang_pred", "score")]
     if clash:
         raise ValueError(f"docs has columns {clash} already")
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):

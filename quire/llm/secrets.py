@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import released, slices, stored, table
+from .common import released, slices, small_batches, stored, table
 
 #: The kinds in their order, and the base patterns of the contract.
 KINDS = ("assign", "access", "hex", "private_key", "web_token", "provider_key")
@@ -83,6 +83,7 @@ def scan_unseen(docs: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
     Only names of blobs are compared; a text is read by the scan only if its row
     was chosen to stand for its blob. A null text is the empty blob.
     """
+    small_batches(docs.sparkSession)
     keys = docs.select("doc_id", _blob().alias("blob"))
     chosen = keys.groupBy("blob").agg(F.min("doc_id").alias("doc_id"))
     if ledger is not None:
