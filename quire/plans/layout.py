@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
@@ -20,9 +21,11 @@ FROM (SELECT *, length(array_to_string(parts[1:k - 1], ' ')) + CASE WHEN k > 1 T
 
 
 def words_of(spark, sf_dir):
-    parts = lines_of(spark, sf_dir).select("doc_id", "line_no", F.split("line", " ").alias("parts"))
-    w = parts.select("doc_id", "line_no", F.posexplode("parts").alias("i", "text"), "parts").where("text <> ''")
-    o = F.length(F.array_join(F.slice("parts", F.lit(1), F.col("i")), " ")) + (F.col("i") > 0).cast("int")
+    w = lines_of(spark, sf_dir).select("doc_id", "line_no", F.posexplode(F.split("line", " ")).alias("i", "text"))
+    # Where a word starts is the length of what stands before it in its line.
+    before = Window.partitionBy("doc_id", "line_no").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    w = w.withColumn("o", F.coalesce(F.sum(F.length("text") + 1).over(before), F.lit(0))).where("text <> ''")
+    o = F.col("o")
     top = (F.col("line_no") - 1) * F.lit(12.0)
     return w.select("doc_id", "line_no", (F.col("i") + 1).cast("long").alias("word_no"), "text", (o * F.lit(6.0)).alias("x0"), ((o + F.length("text")) * F.lit(6.0)).alias("x1"), top.alias("top"), (top + 10).alias("bottom"))
 
