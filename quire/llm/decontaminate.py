@@ -84,7 +84,7 @@ def find_overlaps(docs: DataFrame, items: DataFrame, span: int = SPAN) -> DataFr
 
     docs(doc_id, text) and items(item_id, text). Null texts have no words; items
     without words have no window. item_ids are strings in string order. Rows with
-    equal doc_id are told apart by their text (text_hash); repeated rows repeat.
+    equal doc_id, or none, are told apart by their text (text_hash); repeated rows repeat.
     """
     key = F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("text_hash")
     rows = docs.select("doc_id", key, hashed_words(F.col("text")).alias("words"))
@@ -116,8 +116,11 @@ def find_overlaps(docs: DataFrame, items: DataFrame, span: int = SPAN) -> DataFr
     covered = hits.groupBy("doc_id", "text_hash").agg(union.cast("long").alias("n_hit"))
     matched = hits.select("doc_id", "text_hash", "window").distinct().join(hint(windows), "window").select("doc_id", "text_hash", "item_id").distinct()
     listed = matched.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_list("item_id")).alias("item_ids"))
-    found = covered.join(listed, ["doc_id", "text_hash"])
-    return sizes.join(found, ["doc_id", "text_hash"], "left").select(
+    listed = listed.withColumnsRenamed({"doc_id": "__i", "text_hash": "__t"})
+    found = covered.join(listed, covered["doc_id"].eqNullSafe(listed["__i"]) & (covered["text_hash"] == listed["__t"])).drop("__i", "__t")
+    found = found.withColumnsRenamed({"doc_id": "__id", "text_hash": "__th"})
+    same = sizes["doc_id"].eqNullSafe(found["__id"]) & (sizes["text_hash"] == found["__th"])
+    return sizes.join(found, same, "left").select(
         "doc_id", "text_hash", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
         F.coalesce(F.size("item_ids"), F.lit(0)).cast("long").alias("n_items"), F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"),
     )

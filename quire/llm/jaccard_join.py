@@ -407,7 +407,9 @@ def link_components(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each of docs.
 
     A null text, and one without words, has no set: n_shingles is 0 and its
-    component is itself. Repeated rows are one set, so they share a component.
+    component is itself. Repeated rows are one set, so they share a component. A row
+    without a doc_id has the component of the documents it links with by an equal
+    set, else null.
     """
     sketches = stored(sketch(docs), "sketches")
     classes = stored(sketches.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("doc")), "classes")

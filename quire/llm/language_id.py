@@ -229,7 +229,8 @@ def label_positions(model: Model, text: str) -> list[str]:
 
 
 def held_out() -> F.Column:
-    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
+    """Whether a document is kept from training; one without a doc_id is."""
+    return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2, F.lit(True))
 
 
 def is_held_out(doc_id: int) -> bool:

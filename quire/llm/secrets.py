@@ -81,7 +81,8 @@ def scan_unseen(docs: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
     """Ledger rows (FINDINGS) for the blobs of docs that ledger lacks for RULE_VERSION.
 
     Only names of blobs are compared; a text is read by the scan only if its row
-    was chosen to stand for its blob. A null text is the empty blob.
+    was chosen to stand for its blob. A null text is the empty blob; a null doc_id
+    is a document like any other.
     """
     small_batches(docs.sparkSession)
     keys = docs.select("doc_id", _blob().alias("blob"))
@@ -92,7 +93,8 @@ def scan_unseen(docs: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
     chosen = stored(chosen, "unseen")
     if chosen.count() <= BROADCAST_BLOBS:
         chosen = F.broadcast(chosen)
-    texts = docs.select("doc_id", "text").withColumn("blob", _blob()).join(chosen, ["doc_id", "blob"], "left_semi").select("blob", "text")
+    rows = docs.select("doc_id", "text", _blob().alias("blob"))
+    texts = rows.join(chosen, (rows["blob"] == chosen["blob"]) & rows["doc_id"].eqNullSafe(chosen["doc_id"]), "left_semi").select("blob", "text")
     # Repeated rows of one document would be scanned twice; the ledger keeps one.
     return texts.mapInArrow(_scan, FINDINGS).dropDuplicates(["blob"])
 

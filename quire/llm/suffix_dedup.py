@@ -252,7 +252,7 @@ def _texts(batches):
     for b in released(batches):
         for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
             data = (text.as_py() or "").encode()
-            if len(data) >= LENGTH:
+            if doc is not None and len(data) >= LENGTH:
                 rows.append((doc, data))
                 size += len(data)
                 if size >= BATCH_BYTES:
@@ -330,7 +330,7 @@ def _meet(group: pa.Table) -> pa.Table:
         keep = by[twin]
         keep = keep[np.argsort(doc[keep], kind="stable")]
         found, begin = np.unique(doc[keep], return_index=True)
-        ends = np.append(begin[1:], len(keep))
+        ends = np.append(begin, len(keep))[1:]
         for d, a, b in zip(found.tolist(), begin, ends, strict=True):
             s = keep[a:b]
             out.append((d, "meet", _pack(h[s], doc[s], first[s], count[s])))
@@ -460,7 +460,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     Null is the empty text. A text of under LENGTH bytes keeps all. Of documents
     with equal texts all but the one of smallest doc_id lose everything. Repeated
-    rows of one document get the same answer. doc_id names one text.
+    rows of one document get the same answer. doc_id names one text; a row without
+    one keeps all and counts for no other.
     """
     state = repeated_ranges(docs).withColumnRenamed("doc", "doc_id")
     text = F.coalesce(F.col("text"), F.lit(""))
