@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions import detectors as D
 from ..functions import text as T
+from ..functions.expressions import let
 
 #: Tokens, and letters that stand for their accented forms.
 MASK, REF = "[OCULTO]", "[REF:%s]"
@@ -80,10 +81,6 @@ def build_rules(terms: Sequence[str] = (), detectors: Sequence[str] = (), patter
     return rules
 
 
-def let(value: Column, body) -> Column:
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def canon(hit: Column, fuzzy: bool = True) -> Column:
     """What makes two hits the same entity."""
     return T.fold(hit) if fuzzy else T.collapse(hit)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import detectors as D
 from ..functions import text as T
+from ..functions.expressions import let
 
 #: The base of a candidate's score, kinds suggested at once, and limits.
 BASE_SCORE = {
@@ -53,9 +54,12 @@ def _fold_word(c: Column) -> Column:
 def trim_stop_words(phrase: Column) -> Column:
     """phrase without the stop words at its ends."""
     tokens = F.filter(F.split(phrase, f"[{T.SPACE_CLASS}]+"), lambda x: x != "")
-    useful = F.transform(tokens, lambda x: ~_fold_word(x).isin(*D.STOP_WORDS))
-    first, last = F.array_position(useful, True), F.size(useful) - F.array_position(F.reverse(useful), True) + 1
-    return F.when(first > 0, F.array_join(F.slice(tokens, first.cast("int"), (last - first + 1).cast("int")), " ")).otherwise(F.lit(""))
+
+    def between(ts: Column, useful: Column) -> Column:
+        first, last = F.array_position(useful, True), F.size(useful) - F.array_position(F.reverse(useful), True) + 1
+        return F.when(first > 0, F.array_join(F.slice(ts, first.cast("int"), (last - first + 1).cast("int")), " ")).otherwise(F.lit(""))
+
+    return let(tokens, lambda ts: let(F.transform(ts, lambda x: ~_fold_word(x).isin(*D.STOP_WORDS)), lambda useful: between(ts, useful)))
 
 
 def looks_like_company(phrase: Column) -> Column:

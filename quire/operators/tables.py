@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.expressions import let
 from ..functions.numbers import MAX_COL_WIDTH
 from ..functions.text import clean, escape_md, strip
 
@@ -17,11 +18,6 @@ MIN_FILL, MIN_QUALITY, PROSE_LENGTH = 0.30, 0.35, 55
 WS_BINS, WS_MIN_ROWS, WS_MIN_COLS = 300, 3, 2
 
 
-def let(value: Column, body) -> Column:
-    """Bind value once inside an expression."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _empty() -> Column:
     return F.array().cast("array<array<string>>")
 
