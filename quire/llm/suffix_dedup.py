@@ -38,8 +38,6 @@ CHUNK, BATCH_BYTES = 1 << 20, 8 << 20
 SORTED_AT_ONCE = 300_000
 #: Anchors in a bucket of the first shuffle, strings in a bucket of the second.
 ANCHORS_PER_BUCKET, STRINGS_PER_BUCKET = 250_000, 1_000_000
-#: Removed ranges up to so many bytes are broadcast to the texts; more are shuffled with them.
-BROADCAST_BYTES = 32 << 20
 
 _RNG = np.random.default_rng(2024)
 _BYTE = _RNG.integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -421,11 +419,14 @@ def kept_bytes(data: bytes, low: np.ndarray, high: np.ndarray) -> tuple[bytes, i
 def _digest(batches):
     for b in released(batches):
         out = []
-        for doc, text, marks in zip(b.column("doc_id").to_pylist(), b.column("text"), b.column("marks"), strict=True):
-            data = (text.as_py() or "").encode()
-            low, high = (np.concatenate(c).astype(np.int64) for c in zip(*(_unpack(x, RANGE) for x in marks.as_py()), strict=True))
-            left, n, runs = kept_bytes(data, low, high)
-            out.append((doc, len(data), n, runs, hashlib.sha256(left).hexdigest()))
+        for doc, n_bytes, sha, text, marks in zip(*(b.column(c).to_pylist() if c in ("doc_id", "n_bytes", "sha") else b.column(c) for c in ("doc_id", "n_bytes", "sha", "text", "marks")), strict=True):
+            blobs = marks.as_py()
+            if blobs is None:
+                out.append((doc, n_bytes, 0, 0, sha))
+                continue
+            low, high = (np.concatenate(c).astype(np.int64) for c in zip(*(_unpack(x, RANGE) for x in blobs), strict=True))
+            left, n, runs = kept_bytes(text.as_py().encode(), low, high)
+            out.append((doc, n_bytes, n, runs, hashlib.sha256(left).hexdigest()))
         cols = list(zip(*out, strict=True)) if out else [[]] * 5
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
@@ -463,19 +464,12 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     rows of one document get the same answer. doc_id names one text; a row without
     one keeps all and counts for no other.
     """
-    state = repeated_ranges(docs).withColumnRenamed("doc", "doc_id")
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select("doc_id", text.alias("text"))
-    size = state.agg(F.coalesce(F.sum(F.lit(60) + F.aggregate("marks", F.lit(0), lambda a, x: a + F.octet_length(x) + 16)), F.lit(0)).alias("bytes")).first()["bytes"]
-    side = F.broadcast(state) if size <= BROADCAST_BYTES else state
-    joined = rows.join(side, "doc_id", "left")
-    touched = F.col("marks").isNotNull()
-    plain = joined.where(~touched).select(
-        "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"),
-        F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"),
-    )
-    cut = joined.where(touched).select("doc_id", "text", "marks")
-    return plain.unionByName(cut.mapInArrow(_digest, plain.schema))
+    rows = docs.select("doc_id", text.alias("text"), F.sha2(text.cast("binary"), 256).alias("sha"), F.octet_length(text).cast("long").alias("n_bytes"))
+    # Ranges follow the corpus too, so this meeting is a shuffle at every size; only texts that lose something go on to Python.
+    joined = rows.hint("merge").join(repeated_ranges(docs).withColumnRenamed("doc", "doc_id"), "doc_id", "left")
+    kinds = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    return joined.select("doc_id", "n_bytes", "sha", F.when(F.col("marks").isNotNull(), F.col("text")).alias("text"), "marks").mapInArrow(_digest, kinds)
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
