@@ -37,8 +37,8 @@ RULE_VERSION = hashlib.sha256("\n".join(f"{k} {r.pattern}" for k, r in (BASE | A
 
 FINDINGS = "blob string, rule_version string, n_assign long, n_access long, n_hex long, base_spans string, spans string"
 _HINT = re.compile(r"passw|secret|token|api_?key", re.I | re.A)
-#: A scan list up to this many blobs (16 bytes each) is broadcast, a longer one is shuffled with the texts.
-BROADCAST_BLOBS = 2_000_000
+#: A scan list up to this many blobs (about 100 bytes each) is broadcast, a longer one is shuffled with the texts.
+BROADCAST_BLOBS = 400_000
 
 
 def find_spans(text: str) -> list[tuple[int, int, int]]:
