@@ -432,13 +432,12 @@ def _digest(batches):
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def repeated_ranges(docs: DataFrame) -> DataFrame:
-    """(doc, marks) of the documents with a repeated string: packed RANGEs of the
+def repeated_ranges(texts: DataFrame) -> DataFrame:
+    """(doc, marks) of texts(doc_id, text) with a repeated string: packed RANGEs of the
     starts of strings that start earlier too, from the batches and from the buckets.
     """
-    small_batches(docs.sparkSession)
-    spark = docs.sparkSession
-    texts = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    spark = texts.sparkSession
+    small_batches(spark)
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     n_bytes = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     buckets = max(least, n_bytes // 35 // ANCHORS_PER_BUCKET)
@@ -453,7 +452,7 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
     strings = texts.hint("merge").join(shared, "doc_id").select("text", "blobs").mapInArrow(_cut_strings(sorted_buckets), "bucket int, head binary, bytes binary")
     ranges = strings.groupBy("bucket").applyInArrow(_sort_bucket, "doc long, blob binary")
     found = met.where("kind = 'gone'").select("doc", "blob").unionByName(ranges)
-    return stored(found.groupBy("doc").agg(F.collect_list("blob").alias("marks")), "ranges")
+    return found.groupBy("doc").agg(F.collect_list("blob").alias("marks"))
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -464,12 +463,18 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     rows of one document get the same answer. doc_id names one text; a row without
     one keeps all and counts for no other.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select("doc_id", text.alias("text"), F.sha2(text.cast("binary"), 256).alias("sha"), F.octet_length(text).cast("long").alias("n_bytes"))
-    # Ranges follow the corpus too, so this meeting is a shuffle at every size; only texts that lose something go on to Python.
-    joined = rows.hint("merge").join(repeated_ranges(docs).withColumnRenamed("doc", "doc_id"), "doc_id", "left")
+    whole = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    texts = whole.where("doc_id IS NOT NULL")
+    n_bytes, sha = F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256)
+    # The ranges follow the corpus too, so this meeting is a shuffle at every size. It is
+    # the same shuffle of the same texts as the one inside, so Spark runs it once. Only
+    # texts that lose something go on to Python.
+    joined = texts.hint("merge").join(repeated_ranges(texts).withColumnRenamed("doc", "doc_id"), "doc_id", "left")
     kinds = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    return joined.select("doc_id", "n_bytes", "sha", F.when(F.col("marks").isNotNull(), F.col("text")).alias("text"), "marks").mapInArrow(_digest, kinds)
+    cut = joined.select("doc_id", n_bytes, sha.alias("sha"), F.when(F.col("marks").isNotNull(), F.col("text")).alias("text"), "marks").mapInArrow(_digest, kinds)
+    zero = F.lit(0).cast("long")
+    lost = whole.where("doc_id IS NULL").select(F.col("doc_id").cast("long").alias("doc_id"), n_bytes, zero.alias("n_removed"), zero.alias("n_spans"), sha.alias("kept_sha256"))
+    return cut.unionByName(lost)
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
