@@ -205,6 +205,15 @@ def test_components(spark):
     assert got == {i: 0 for i in range(31)} | {50: 50, 60: 50}
 
 
+def test_components_of_long_chains(spark):
+    n = 400
+    falling, shuffled = list(range(n))[::-1], random.Random(3).sample(range(n), n)
+    chains = [falling, [1000 + i for i in shuffled], [2000 + i for i in [*range(0, n, 2), *range(1, n, 2)[::-1]]]]
+    links = [p for c in chains for p in zip(c, c[1:], strict=False)]
+    got = {r["node"]: r["comp"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {i: min(c) for c in chains for i in c}
+
+
 # ---- 6 URL filter -------------------------------------------------------------------
 URLS = [None, "", "no scheme", "http://", "HTTP://Example.ORG/es/1", "https://a.example.org/en/12?x=1", "http://x.org/", "http://x.org", "http://xorg/", "http://b.com/fr/2#t", "http://b.com/de/", "http://b.net/a//b?c=d&e=f", "a://b://c/d"]
 
