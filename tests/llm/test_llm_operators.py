@@ -242,6 +242,19 @@ def test_url_rules_and_forest(spark):
     assert url_filter.filter_urls(pages.limit(0), none).count() == 0
 
 
+def test_url_verdicts_do_not_depend_on_the_number_of_ruled_rows(spark):
+    hosts = ["alpha.org", "www.beta-news.org", "gamma.com", "m.delta9.com", "example.org"]
+    paths = ["/en/{}", "/fr/{}?page=2", "/de/{}/x", "/es/{}.html?a=1&b=2"]
+    fixed = [u for u, _ in url_filter.SEED_LABELS] + [f"https://{h}.net/en/{i}" for h in ("museum", "www.books", "casino-777-win", "cheap-pills-4u") for i in (7, 4711)] + [None, "http://x.net"]
+    pages = spark.createDataFrame(list(enumerate(fixed)), "page_id long, url string")
+    seen = []
+    for n in (100, 1000, 20_000):
+        ruled = spark.createDataFrame([(f"http://{hosts[i % 5]}{paths[i // 5 % 4].format(100_000 + i)}",) for i in range(n)], "url string")
+        got = url_filter.filter_urls(pages, url_filter.train(url_filter.labels_of(ruled))).where("rule is null")
+        seen.append({r["page_id"]: r["verdict"] for r in got.collect()})
+    assert seen[0] == seen[1] == seen[2] and set(seen[0].values()) == {"allow", "block"}
+
+
 # ---- 7 BPE -----------------------------------------------------------------------------
 def test_bpe_equals_the_library(docs):
     from tokenizers import Tokenizer
