@@ -4,7 +4,8 @@ Pass one hashes the element subtrees of every page and Spark counts, for each
 host, on how many of its pages a hash occurs. Subtrees that recur on many pages
 of their host are its template. Pass two deletes them, together with elements
 whose tag, role or class says that they are no article text, and writes the
-blocks of what is left of the article.
+blocks of what is left of every article and main part, in page order. A class or
+id removes nothing that holds half of the page's text or more.
 
 Paragraphs, headings, lists and tables inside an article are never taken for a
 template: a sentence that many articles quote is still text. Nor is a container that holds
@@ -44,6 +45,8 @@ NO_CLASS = _WORDS(
     "signup sidebar sidenav menu nav navbar navigation breadcrumb breadcrumbs comment comments disqus replies share sharing social related recommended recommendations "
     "widget popup modal overlay footer masthead toolbar pagination pager login paywall"
 )
+#: Parts of a class or id after one of these say what the page has, or lacks, or is filed under; not what the element is.
+ABOUT = _WORDS("has have no not with without tag category cat")
 #: Of an article only wrappers can be template: its lists, tables and paragraphs may be quoted by many pages.
 WRAPPERS = _WORDS("div section aside header footer details center hgroup address")
 #: An open element that ends where one of these begins.
@@ -58,10 +61,10 @@ _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
 class Node:
-    __slots__ = ("attrs", "children", "key", "size", "tag")
+    __slots__ = ("attrs", "children", "key", "size", "tag", "text")
 
     def __init__(self, tag: str, attrs: str = ""):
-        self.tag, self.attrs, self.children, self.key, self.size = tag, attrs, [], 0, 0
+        self.tag, self.attrs, self.children, self.key, self.size, self.text = tag, attrs, [], 0, 0, 0
 
 
 def parse(source: str) -> Node:
@@ -122,12 +125,16 @@ def _named(attrs: str) -> tuple[set[str], str]:
         if m[1].lower() == "role":
             role = value.strip().lower()
         else:
-            parts.update(p.lower() for p in _PART.findall(value))
+            for token in value.split():
+                for part in _PART.findall(token):
+                    if part.lower() in ABOUT:
+                        break
+                    parts.add(part.lower())
     return parts, role
 
 
-def _no_article(node: Node, inside: bool) -> bool:
-    """Whether the element is something other than text of the article."""
+def _no_article(node: Node, inside: bool, whole: int) -> bool:
+    """Whether the element is something other than text of the article; whole is the text of the page."""
     tag = node.tag
     if tag in NO_TEXT:
         return True
@@ -138,23 +145,29 @@ def _no_article(node: Node, inside: bool) -> bool:
     parts, role = _named(node.attrs)
     if role in NO_ROLE or "hidden" in node.attrs.lower().split():
         return True
-    return bool(parts & NO_CLASS) or ("header" in parts and not inside and tag != "article")
+    return 2 * node.text < whole and (bool(parts & NO_CLASS) or ("header" in parts and not inside and tag != "article"))
 
 
 def digest(node: Node) -> tuple[int, int]:
-    """Set and return (hash, characters of text) of the subtree, whatever its white space."""
-    h, size = xxhash.xxh64(f"{node.tag} {' '.join(node.attrs.split())}"), 0
+    """Set and return (hash, characters of text) of the subtree, whatever its white space.
+
+    The node's text counts the characters outside elements that never hold text of an article.
+    """
+    h, size, text = xxhash.xxh64(f"{node.tag} {' '.join(node.attrs.split())}"), 0, 0
     for c in node.children:
         if isinstance(c, str):
             words = c.split()
             if words:
                 h.update(" ".join(words))
-                size += sum(map(len, words))
+                n = sum(map(len, words))
+                size += n
+                text += n
         else:
             key, n = digest(c)
             h.update(key.to_bytes(8, "little"))
             size += n
-    node.key, node.size = h.intdigest(), size
+            text += c.text
+    node.key, node.size, node.text = h.intdigest(), size, 0 if node.tag in NO_TEXT else text
     return node.key, size
 
 
@@ -177,32 +190,29 @@ def subtree_hashes(source: str) -> set[int]:
 
 
 def main_text(source: str, template: frozenset[int] | set[int] = frozenset()) -> str:
-    """Blocks of the article of a page, without the subtrees whose hash is in template."""
+    """Blocks of the articles and main parts of a page, or of the page if it has none, without the subtrees whose hash is in template."""
     root = parse(source)
     digest(root)
 
-    articles: list[Node] = []
-    mains: list[Node] = []
+    regions: list[Node] = []
 
     def recurs(n: Node, whole: int) -> bool:
         return bool(template) and n.tag in BLOCK and (n.key - (1 << 64) if n.key >= 1 << 63 else n.key) in template and 2 * n.size <= whole
 
     def look(n: Node) -> None:
         for c in n.children:
-            if isinstance(c, str) or _no_article(c, False):
-                continue
-            if c.tag == "article":
-                articles.append(c)
+            if isinstance(c, str) or _no_article(c, False, root.text):
                 continue
-            if c.tag == "main" or _named(c.attrs)[1] == "main":
-                mains.append(c)
-            look(c)
+            if c.tag in ("article", "main") or _named(c.attrs)[1] == "main":
+                regions.append(c)
+            else:
+                look(c)
 
     look(root)
-    pick = max(articles, key=lambda n: n.size) if articles else max(mains, key=lambda n: n.size) if mains else root
+    in_article = bool(regions)
+    regions = regions or [root]
     blocks: list[str] = []
     line: list[str] = []
-    in_article = pick is not root
 
     def flush() -> None:
         text = " ".join(entities.unescape("".join(line)).split())
@@ -210,27 +220,30 @@ def main_text(source: str, template: frozenset[int] | set[int] = frozenset()) ->
         if text:
             blocks.append(text)
 
-    def write(n: Node) -> None:
+    def write(n: Node, whole: int, within: bool) -> None:
         for c in n.children:
             if isinstance(c, str):
                 line.append(c)
             elif c.tag in ("br", "wbr"):
                 line.append(" " if c.tag == "br" else "")
-            elif not _no_article(c, in_article) and not recurs_here(c):
+            elif not _no_article(c, in_article, root.text) and not recurs_here(c, whole):
+                # A container is held against the outermost article around it.
+                outer = c.tag == "article" and not within
                 if c.tag in BLOCK:
                     flush()
-                    write(c)
+                    write(c, c.size if outer else whole, within or outer)
                     flush()
                 else:
-                    write(c)
+                    write(c, whole, within)
 
-    def recurs_here(n: Node) -> bool:
+    def recurs_here(n: Node, whole: int) -> bool:
         if in_article and n.tag not in WRAPPERS:
             return False
-        return recurs(n, pick.size)
+        return recurs(n, whole)
 
-    write(pick)
-    flush()
+    for n in regions:
+        write(n, n.size, n.tag == "article")
+        flush()
     return "\n\n".join(blocks)
 
 

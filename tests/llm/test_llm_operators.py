@@ -319,6 +319,19 @@ def test_html_templates(spark):
         html_extract.main_text(broken)
 
 
+def test_html_keeps_every_article():
+    text = html_extract.main_text
+    one, two = "<p>first part of it</p>", "<p>second part</p>"
+    assert text(f"<body><div>menu</div><article>{one}</article><div>x</div><article>{two}</article></body>") == "first part of it\n\nsecond part"
+    assert text(f"<main><h1>Title</h1><p>lead</p><article>{one}</article><nav>n</nav><article>{two}</article><p>end</p></main>") == "Title\n\nlead\n\nfirst part of it\n\nsecond part\n\nend"
+    for name in ("post has-sidebar", "no-comments", "tag-social"):
+        assert text(f"<article class='{name}'>{one}</article><article class='{name}'>{two}</article><article class='{name}'>{two}</article>") == "first part of it\n\nsecond part\n\nsecond part"
+    long = "<p>" + "word " * 40 + "</p>"
+    for name in ("content-with-sidebar", "page-header", "sidebar-layout"):
+        assert text(f"<script>{'x' * 999}</script><div class='{name}'><article>{long}<div class='sidebar'>s</div></article></div>") == ("word " * 40).strip()
+        assert text(f"<div class='{name}' id=menu-page>{long}</div><div class='menu'>m</div>") == ("word " * 40).strip()
+
+
 # ---- 10 suffix dedup -------------------------------------------------------------------------
 def plain_removal(rows):
     first, out = {}, {}
