@@ -136,7 +136,8 @@ def redact_secrets(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     """docs with every span that the ledger lists replaced by mark.
 
     Overlapping spans become one mark. All rows and columns stay; a column
-    n_chars follows the changed text. Texts without a span pass unread.
+    n_chars follows the changed text. Texts without a span pass unread. Rows without
+    a doc_id are read if one of them has a span.
     """
     hits = stored(find_secrets(docs).where("spans <> ''").select(F.col("doc_id").alias("__id")).distinct(), "hits")
     flag = hits.withColumn("__hit", F.lit(True))
@@ -159,7 +160,7 @@ def redact_secrets(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
             arrays = [pa.array(texts, batch.schema.field(at).type) if c == "text" else batch.column(batch.schema.get_field_index(c)) for c in columns]
             yield pa.RecordBatch.from_arrays(arrays, columns)
 
-    marked = docs.join(flag, docs["doc_id"] == flag["__id"], "left").drop("__id").withColumn("__hit", F.coalesce("__hit", F.lit(False)))
+    marked = docs.join(flag, docs["doc_id"].eqNullSafe(flag["__id"]), "left").drop("__id").withColumn("__hit", F.coalesce("__hit", F.lit(False)))
     clean = marked.mapInArrow(cut, schema)
     return clean.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType)) if "n_chars" in columns else clean
 
