@@ -32,8 +32,14 @@ ADDED = {
     "web_token": re.compile(r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
     "provider_key": re.compile(r"(?:gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35})"),
 }
+#: What follows the heading of a private key, where its END line is missing: lines of headers, base64, a short last line.
+_GAP = r"(?:\s|\\[rn])"
+_KEY_BODY = re.compile(
+    rf"(?:{_GAP}*+(?:Proc-Type|DEK-Info|Comment|Version|Hash):[^\r\n\\]*+)*+(?:{_GAP}*+[A-Za-z0-9+/]{{16,}}+={{0,2}}+)++"
+    rf"(?:{_GAP}++(?:[A-Za-z0-9+/]++={{1,2}}|[A-Za-z0-9+/]++(?=[^\S\n]*(?:[\r\n\"']|\\[rn]|\Z))))?"
+)
 #: Changes with any change of a pattern.
-RULE_VERSION = hashlib.sha256("\n".join(f"{k} {r.pattern}" for k, r in (BASE | ADDED).items()).encode()).hexdigest()[:12]
+RULE_VERSION = hashlib.sha256("\n".join(f"{k} {r.pattern}" for k, r in (BASE | ADDED | {"key_body": _KEY_BODY}).items()).encode()).hexdigest()[:12]
 
 FINDINGS = "blob string, rule_version string, n_assign long, n_access long, n_hex long, base_spans string, spans string"
 _HINT = re.compile(r"passw|secret|token|api_?key", re.I | re.A)
@@ -41,6 +47,16 @@ _HINT = re.compile(r"passw|secret|token|api_?key", re.I | re.A)
 BROADCAST_BLOBS = 400_000
 
 
+def _private_keys(text: str):
+    """(start, end) of private keys: to the END line of the same name before the next heading, else to the end of the base64 block."""
+    heads = list(ADDED["private_key"].finditer(text))
+    for m, stop in zip(heads, [h.start() for h in heads[1:]] + [len(text)], strict=True):
+        last = m[0].replace("BEGIN", "END", 1)
+        end = text.find(last, m.end(), stop)
+        body = None if end >= 0 else _KEY_BODY.match(text, m.end(), stop)
+        yield m.start(), end + len(last) if end >= 0 else body.end() if body else m.end()
+
+
 def find_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, place of the kind in KINDS, end) of all spans, sorted."""
     found = []
@@ -50,8 +66,10 @@ def find_spans(text: str) -> list[tuple[int, int, int]]:
         found += [(m.start(), 1, m.end()) for m in BASE["access"].finditer(text) if m.end() - m.start() >= 16]
     found += [(m.start(), 2, m.end()) for m in BASE["hex"].finditer(text)]
     for i, kind in enumerate(KINDS[3:], 3):
-        if kind != "private_key" or "PRIVATE KEY" in text:
+        if kind != "private_key":
             found += [(m.start(), i, m.end()) for m in ADDED[kind].finditer(text)]
+        elif "PRIVATE KEY" in text:
+            found += [(a, i, b) for a, b in _private_keys(text)]
     return sorted(found)
 
 
