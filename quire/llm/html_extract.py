@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from .common import small_batches, stored, table
 
-#: A subtree is template from so many pages of its host on, and from this share of them.
-MIN_PAGES, MIN_SHARE = 5, 0.2
+#: A subtree is template from so many pages of its host on, and from this share of them; from MANY_PAGES on whatever the share.
+MIN_PAGES, MIN_SHARE, MANY_PAGES = 5, 0.2, 100
 #: Up to so many template hashes are broadcast; more are joined by a shuffle with the hosts salted.
 BROADCAST_TEMPLATES = 500_000
 SALTS = 16
@@ -256,7 +256,8 @@ def find_templates(pages: DataFrame) -> DataFrame:
 
     Counts are over all pages. Each page sends a hash once; Spark adds up before
     the shuffle, so a host with a third of all pages is no hot key. The list of a
-    host holds at most (subtrees of a page) / MIN_SHARE hashes on average.
+    host holds at most (subtrees of a page) / MIN_SHARE hashes on average, or where
+    it has more than MANY_PAGES / MIN_SHARE pages, (subtrees of its pages) / MANY_PAGES.
     """
 
     def hashes(batches):
@@ -271,7 +272,7 @@ def find_templates(pages: DataFrame) -> DataFrame:
     seen = pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(hashes, "host string, subtree long")
     counts = seen.groupBy("host", "subtree").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_PAGES)
     hosts = pages.select(host_of(F.col("url")).alias("host")).groupBy("host").agg(F.count("*").alias("pages"))
-    often = counts.join(hosts, "host").where(F.col("n") >= MIN_SHARE * F.col("pages"))
+    often = counts.join(hosts, "host").where((F.col("n") >= MIN_SHARE * F.col("pages")) | (F.col("n") >= MANY_PAGES))
     return often.groupBy("host").agg(F.collect_set("subtree").alias("subtrees"))
 
 

@@ -348,6 +348,14 @@ def test_html_keeps_every_article():
         assert text(f"<div class='{name}' id=menu-page>{long}</div><div class='menu'>m</div>") == ("word " * 40).strip()
 
 
+def test_html_templates_of_a_host_with_many_pages(spark):
+    box = {k: f"<div class=box>block of {k} pages</div>" for k in (40, 150)}
+    text = "a text that is longer than the blocks of its site " * 2
+    rows = [(i, f"http://big.org/{i}", f"<article><p>{text}{i}</p>{''.join(b for k, b in box.items() if i < k)}</article>") for i in range(1000)]
+    got = rows_of(html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")), "page_id")
+    assert all(got[i]["text"] == f"{text}{i}" + ("\n\nblock of 40 pages" if i < 40 else "") for i in range(1000))
+
+
 # ---- 10 suffix dedup -------------------------------------------------------------------------
 def plain_removal(rows):
     first, out = {}, {}
