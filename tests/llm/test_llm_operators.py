@@ -199,6 +199,21 @@ def test_jaccard_components(spark, docs, monkeypatch):
     assert jaccard_join.link_components(empty(docs)).count() == 0
 
 
+def test_jaccard_components_with_the_sampled_order(spark):
+    r, texts = random.Random(4), {}
+    for f in range(90):
+        base = text_of(r.randint(20, 90), 500 + f).split()
+        for m in range(4):
+            w = list(base)
+            for _ in range(r.randint(0, max(1, len(w) // 20))):
+                w[r.randrange(len(w))] = f"e{r.randrange(999)}"
+            texts[4 * f + m] = " ".join(w) + " " + PASSAGE
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    assert len(jaccard_join.frequent_tokens(df)[0]) > 40  # the passage is in the sample
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.link_components(df).collect()}
+    assert got == plain_components(texts)
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(50, 60), (60, 50), (70, 70)], "a long, b long")
     got = {r["node"]: r["comp"] for r in components(edges).collect()}
