@@ -29,41 +29,64 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as spark.checkpoint.dir names it.
 
-    Only where the session has no such setting (local tests) a temporary folder
-    of this machine is taken.
+    Only in a session on this machine alone (tests) an unset one becomes a
+    temporary folder; on a cluster that is an error.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not sc._jsc.sc().getCheckpointDir().isDefined():
+        if not named and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="quire-checkpoint-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder."""
+#: Rows of small columns that make a file of their own.
+ROWS_PER_FILE = 200_000
+
+
+def gathered(df: DataFrame, rows: int | None, python: bool = False) -> DataFrame:
+    """df in as many partitions as so many rows of small columns need, if that is less than it has.
+
+    What ends in Python work keeps its tasks and is dealt anew; other frames end in fewer tasks.
+
+    Each file costs a few processes on the way (a local file system sets its mode
+    by one), so small tables are better one file than one for every partition.
+    """
+    parts = None if rows is None else 1 + rows // ROWS_PER_FILE
+    if parts is None or parts >= int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        return df
+    return df.repartition(parts) if python else df.coalesce(parts)
+
+
+def durable(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the shared folder; rows: as many it has at most."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return gathered(df, rows).checkpoint(eager=True)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back."""
+def stored(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Write df as Parquet into the shared folder and read it back; rows: as many it has at most."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    gathered(df, rows, True).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-#: Rows of a batch between Spark and Python: texts may be long, so few at a time.
-BATCH_ROWS = 1000
-_ROWS_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows and bytes of a batch between Spark and Python: texts may be long.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+_ROWS_KEY, _BYTES_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Lower the session's rows of an Arrow batch, unless they were lowered already.
+    """Lower the session's rows and bytes of an Arrow batch, unless they were lowered already.
 
-    The default of 10,000 rows is hundreds of MB for long texts, on both sides.
+    The default of 10,000 rows and 64 MB is hundreds of MB for long texts, on both
+    sides. Spark reads the setting when a query runs, so it stays lowered.
     """
     if not 0 < int(spark.conf.get(_ROWS_KEY)) <= BATCH_ROWS:
         spark.conf.set(_ROWS_KEY, BATCH_ROWS)
+    if not 0 < int(spark.conf.get(_BYTES_KEY).rstrip("b")) <= BATCH_BYTES:
+        spark.conf.set(_BYTES_KEY, f"{BATCH_BYTES}b")
 
 
 def trim() -> None:
@@ -107,27 +130,37 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, upper, small))
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """Smallest reachable node of every node in edges(a, b), as (node, comp).
+#: Parts of the labels that a label's label is looked up for, so that a giant component is no hot key.
+SALTS = 16
+
+
+def components(edges: DataFrame, rows: int | None = None) -> DataFrame:
+    """Smallest reachable node of every node in edges(a, b), as (node, comp); rows: as many edges at most.
 
     Each round a node takes the least of its label, its label's label and those
     of its neighbours, and offers the last to the node that its label names: whole
     trees are hooked, not only nodes (FastSV). A chain of n nodes takes about log2 n
     rounds in any order of its ids. Labels only fall, so the loop ends, and it ends
-    only when no label moved. Every round is cut by a reliable checkpoint. Hot
-    nodes only meet partial min aggregates.
+    only when no label moved. Every round is cut by a reliable checkpoint. Hot nodes
+    only meet partial min aggregates; labels that many nodes share are looked up
+    once, and only if they aren't final, in salted parts.
     """
+    nodes = None if rows is None else 2 * rows
     both = edges.select(F.col("a").alias("x"), F.col("b").alias("y"))
-    both = durable(both.unionByName(both.select(F.col("y").alias("x"), F.col("x").alias("y"))).where("x <> y").distinct())
-    label = durable(both.groupBy(F.col("x").alias("node")).agg(F.least(F.min("y"), F.col("x")).alias("comp")))
+    both = durable(both.unionByName(both.select(F.col("y").alias("x"), F.col("x").alias("y"))).where("x <> y").distinct(), nodes)
+    label = durable(both.groupBy(F.col("x").alias("node")).agg(F.least(F.min("y"), F.col("x")).alias("comp")), nodes)
+    salt = F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int").alias("salt")
     while True:
-        jump = label.select(F.col("node").alias("comp"), F.col("comp").alias("far"))
-        far = label.join(jump, "comp").select("node", "comp", "far")
+        named = label.select("comp").distinct()
+        jump = named.join(label.select(F.col("node").alias("comp"), F.col("comp").alias("up")), "comp").where("up <> comp")
+        jump = jump.select("comp", "up", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        far = label.select("node", "comp", salt).join(jump, ["comp", "salt"], "left").select("node", "comp", F.coalesce("up", "comp").alias("far"))
         near = both.join(far.select(F.col("node").alias("y"), "far"), "y").groupBy(F.col("x").alias("node")).agg(F.min("far").alias("near"))
         offer = lambda node, comp: F.struct(node.alias("node"), comp.alias("comp"))
         offers = F.array(offer(F.col("node"), F.least("far", "near")), offer(F.col("comp"), F.col("near")))
-        new = durable(far.join(near, "node").select(F.explode(offers).alias("o")).groupBy("o.node").agg(F.min("o.comp").alias("comp")))
-        moved = new.join(label.select("node", F.col("comp").alias("old")), "node").where("comp <> old").limit(1).count()
-        label = new
+        new = far.join(near, "node").select(F.explode(offers).alias("o")).groupBy("o.node").agg(F.min("o.comp").alias("comp"))
+        new = durable(new.join(label.select("node", F.col("comp").alias("old")), "node"), nodes)
+        moved = not new.where("comp <> old").isEmpty()
+        label = new.select("node", "comp")
         if not moved:
             return label

@@ -19,8 +19,11 @@ least 3/4. All links are found, none is enumerated twice over:
    a member that shares too little with the other group's whole token union is
    skipped, the others are compared set by set until one link is found.
 
-In the order, tokens of many documents come last. They are found on a fixed
-share of the documents; the order changes how fast the join is, never its result.
+In the order, tokens of many documents come last. How many a token has is read
+from counters over all documents, a fixed number whatever the corpus; tokens that
+share a counter share its level. The order changes how fast the join is, never its
+result. A token that still has entries of very many groups is dealt by salts of the
+groups: each pair of salts is a task's worth of its own.
 """
 
 from __future__ import annotations
@@ -28,6 +31,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,9 +44,12 @@ THRESHOLD = (3, 4)
 EXTRA = 20
 #: Minhashes of a set, how many of them are bucket keys, and how many must agree for a bucket's centre to be tried.
 HASHES, KEYS, AGREE = 16, 6, 10
-GROUP = 48
-#: Every so many-th document (by hash) is looked at for frequent tokens; from this count on, and at most so many.
-HOT_SHARE, HOT_COUNT, HOT_MAX = 16, 4, 200_000
+#: Members of a group, and tokens of all its members together (one larger set makes a group).
+GROUP, GROUP_TOKENS = 48, 100_000
+#: Counters of documents for each token, by a part of its hash; how they travel; documents from which a token counts as frequent.
+COUNTERS, COUNTERS_AT_ONCE, FAN_IN, FREQUENT = 1 << 22, 1 << 16, 1024, 64
+#: Entries of a token from which on it is dealt by salts, how many such tokens are looked up, and salts at most.
+WIDE, WIDE_TOKENS, MAX_SALTS = 20_000, 100_000, 1024
 TOKENS_PER_BUCKET, TOKENS_AT_ONCE, PAIRS_AT_ONCE = 300_000, 500_000, 400_000
 #: Documents that are hashed before a batch is handed on.
 ROWS = 500
@@ -95,26 +102,39 @@ def extra(n):
     return max(1, n // EXTRA)
 
 
-def prefix(tokens: np.ndarray, hot: np.ndarray, hot_rank: np.ndarray) -> tuple[np.ndarray, int]:
-    """(first tokens in the global order, l): the others by hash, then the hot ones, the hottest last.
+def counter(tokens: np.ndarray) -> np.ndarray:
+    """Which counter a token has."""
+    return ((tokens >> np.uint64(8)) & np.uint64(COUNTERS - 1)).astype(np.int64)
+
+
+def level_of(counts, mean: float):
+    """Levels 1 to 255 of frequent counters, eight for each doubling; 0 for the others.
+
+    A counter's mean load, and what chance adds to it, isn't frequent yet.
+    """
+    least = FREQUENT + mean + 6 * np.sqrt(mean)
+    return np.where(counts >= least, np.clip(1 + 8 * np.log2(np.maximum(counts, 1) / least), 1, 255), 0).astype(np.uint8)
+
+
+def prefix(tokens: np.ndarray, levels: np.ndarray) -> tuple[np.ndarray, int]:
+    """(first tokens in the global order, l): the others by hash, then the frequent ones by level.
 
     l is extra(n), or less if the prefix would reach beyond its least length into
-    the hot tokens: they are shared by many sets that don't link.
+    the frequent tokens: they are shared by many sets that don't link.
     """
     n = len(tokens)
     least = n - need(n)
     size = min(n, least + extra(n))
-    if not n or not len(hot):
-        return tokens[:size], size - least
-    at = np.minimum(np.searchsorted(hot, tokens), len(hot) - 1)
-    is_hot = hot[at] == tokens
-    cold = tokens[~is_hot]
-    size = min(size, max(least + 1, len(cold)))
-    if len(cold) >= size:
-        return cold[:size], size - least
-    late = tokens[is_hot]
-    late = late[np.argsort(hot_rank[at[is_hot]], kind="stable")]
-    return np.concatenate([cold, late])[:size], size - least
+    if not n:
+        return tokens, 0
+    level = levels[counter(tokens)]
+    rare = tokens[level == 0]
+    size = min(size, max(least + 1, len(rare)))
+    if len(rare) >= size:
+        return rare[:size], size - least
+    late, level = tokens[level > 0], level[level > 0]
+    late = late[np.argsort(level, kind="stable")]
+    return np.concatenate([rare, late])[:size], size - least
 
 
 def linked(x: np.ndarray, y: np.ndarray) -> bool:
@@ -138,55 +158,62 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-_DEAL = "bucket int, tokens binary, owners binary, labels binary, sizes binary"
-
+_DEAL = "bucket int, tokens binary, owners binary, labels binary, sizes binary, units binary"
+_KINDS = {"tokens": np.uint64, "owners": np.int64, "labels": np.int64, "sizes": np.int32, "units": np.int32}
 
-def _deal(buckets: int, tokens: np.ndarray, owners: np.ndarray, labels: np.ndarray, sizes: np.ndarray) -> pa.RecordBatch:
-    """Matrix entries packed by bucket of their token; sizes are 2 |x|, and 1 more for a short entry."""
-    bucket = (tokens >> np.uint64(40)) % np.uint64(buckets)
-    by = np.argsort(bucket.astype(np.int32), kind="stable")
-    cut = np.searchsorted(bucket[by], np.arange(buckets + 1).astype(np.uint64))
-    rows = [[], [], [], [], []]
-    for k in np.flatnonzero(np.diff(cut)):
-        s = by[cut[k] : cut[k + 1]]
-        for col, x in zip(rows, (int(k), tokens[s].tobytes(), owners[s].tobytes(), (labels[s] - owners[s]).tobytes(), sizes[s].astype(np.int32).tobytes()), strict=True):
-            col.append(x)
-    return _batch(_DEAL, rows)
 
+def _deal(buckets: int, **cols: np.ndarray) -> pa.RecordBatch:
+    """Matrix entries packed by bucket of their token and unit.
 
-def _gather(group: pa.Table) -> list[np.ndarray]:
-    return [np.frombuffer(b"".join(group.column(c).to_pylist()), t) for c, t in (("tokens", np.uint64), ("owners", np.int64), ("labels", np.int64), ("sizes", np.int32))]
+    sizes are 2 |x|, and 1 more for a short entry. units are 0 for a token that
+    stays whole; else they name a pair of salts and, in the last bit, the side.
+    """
+    bucket = (((cols["tokens"] >> np.uint64(40)) + (cols["units"] >> 1).astype(np.uint64) * _M1) % np.uint64(buckets)).astype(np.int32)
+    by = np.argsort(bucket, kind="stable")
+    edge = np.flatnonzero(np.append(True, bucket[by][1:] != bucket[by][:-1])) if len(by) else np.zeros(0, np.int64)
+    rows = [[] for _ in range(1 + len(cols))]
+    for lo, hi in zip(edge, np.append(edge[1:], len(by)), strict=True):
+        s = by[lo:hi]
+        rows[0].append(int(bucket[s[0]]))
+        for out, (name, kind) in zip(rows[1:], _KINDS.items(), strict=True):
+            out.append((cols[name][s] - cols["owners"][s] if name == "labels" else cols[name][s]).astype(kind).tobytes())
+    return _batch(_DEAL, rows)
 
 
-def frequent_tokens(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(tokens, rank): the most frequent tokens of a fixed share of the documents, sorted by token.
+def token_levels(docs: DataFrame) -> np.ndarray:
+    """The level of each counter, from the tokens of all documents.
 
-    Bounded by HOT_MAX whatever the corpus: this is all that reaches the driver.
+    A task sends its counters in parts; they are added up in two steps, each of
+    FAN_IN rows a part, so no task grows with the corpus.
     """
-    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(HOT_SHARE)) == 0).select("text")
-    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    def tokens(batches):
+    def count(batches):
+        counts = np.zeros(COUNTERS, np.uint32)
         for b in (part for batch in released(batches) for part in slices(batch, ROWS)):
-            sets = [shingles(t) for t in b.column("text").to_pylist()]
+            sets = [shingles(t.as_py()) for t in b.column("text")]
             if sets:
-                t, n = np.unique(np.concatenate(sets), return_counts=True)
-                yield _deal(buckets, t, n.astype(np.int64), n.astype(np.int64), np.zeros(len(t)))
-
-    def count(group: pa.Table) -> pa.Table:
-        t, n, _, _ = _gather(group)
-        t, back = np.unique(t, return_inverse=True)
-        n = np.bincount(back, n).astype(np.int64)
-        keep = n >= HOT_COUNT
-        return pa.table({"token": pa.array(_signed(t[keep]), pa.int64()), "n": pa.array(n[keep], pa.int64())})
-
-    hot = some.mapInArrow(tokens, _DEAL).groupBy("bucket").applyInArrow(count, "token long, n long")
-    rows = hot.orderBy(F.desc("n"), "token").limit(HOT_MAX).collect()
-    t = np.array([r["token"] for r in rows], np.int64).view(np.uint64)
-    # The hottest have the highest rank.
-    rank = np.arange(len(t), 0, -1)
-    by = np.argsort(t)
-    return t[by], rank[by]
+                np.add.at(counts, counter(np.concatenate(sets)), np.uint32(1))
+        task = TaskContext.get().partitionId() // FAN_IN
+        parts = range(0, COUNTERS, COUNTERS_AT_ONCE)
+        packed = [pa.compress(counts[at : at + COUNTERS_AT_ONCE].astype(np.int64), "zstd", asbytes=True) for at in parts]
+        yield _batch("part int, task int, counts binary", [[*range(len(parts))], [task] * len(parts), packed])
+
+    def add(group: pa.Table) -> pa.Table:
+        total = np.zeros(COUNTERS_AT_ONCE, np.int64)
+        for c in group.column("counts"):
+            total += np.frombuffer(pa.decompress(c.as_py(), 8 * COUNTERS_AT_ONCE, "zstd"), np.int64)
+        packed = pa.compress(total, "zstd", asbytes=True)
+        return pa.table({"part": group.column("part")[:1], "task": pa.array([group.column("task")[0].as_py() // FAN_IN], pa.int32()), "counts": pa.array([packed], pa.binary())})
+
+    schema = "part int, task int, counts binary"
+    seen = docs.select("text").mapInArrow(count, schema)
+    for _ in range(2):
+        seen = seen.groupBy("part", "task").applyInArrow(add, schema)
+    counts = np.zeros(COUNTERS, np.int64)
+    for r in seen.collect():  # COUNTERS numbers at most, whatever the corpus
+        at = r["part"] * COUNTERS_AT_ONCE
+        counts[at : at + COUNTERS_AT_ONCE] += np.frombuffer(pa.decompress(r["counts"], 8 * COUNTERS_AT_ONCE, "zstd"), np.int64)
+    return level_of(counts, float(counts.mean()))
 
 
 def _small(rows: int, width: int, df: DataFrame) -> DataFrame:
@@ -194,149 +221,248 @@ def _small(rows: int, width: int, df: DataFrame) -> DataFrame:
     return F.broadcast(df) if rows * width <= BROADCAST_BYTES else df
 
 
-_SKETCH = "doc_id long, n_shingles long, set_key binary, hashes binary, prefix binary, least long"
+_SKETCH = "doc_id long, text_key long, n_shingles long, node long, hashes binary, prefix binary, least long"
+
+
+def node_of(tokens: np.ndarray) -> int:
+    """The name of a set: a signed 64-bit hash of it."""
+    h = xxhash.xxh3_64_intdigest(tokens.tobytes(), 7)
+    return h - (1 << 64) if h >> 63 else h
 
 
-def sketch(docs: DataFrame) -> DataFrame:
-    """One pass over the texts: set size, key of the set, minhashes and prefix of every document."""
+def sketch(docs: DataFrame, levels: np.ndarray) -> DataFrame:
+    """One pass over the texts: set size, name of the set, minhashes and prefix of every row.
+
+    text_key tells rows of one doc_id with different texts apart.
+    """
     small_batches(docs.sparkSession)
-    hot = docs.sparkSession.sparkContext.broadcast(frequent_tokens(docs))
+    order = docs.sparkSession.sparkContext.broadcast(levels)
 
     def run(batches):
-        tokens, rank = hot.value
+        levels = order.value
         for b in (part for batch in released(batches) for part in slices(batch, ROWS)):
-            rows = [[], [], [], [], [], []]
-            for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
+            rows = [[], [], [], [], []]
+            for text in b.column("text"):
                 t = shingles(text.as_py())
-                first, least = prefix(t, tokens, rank)
-                got = (doc, len(t), xxhash.xxh3_128_digest(t.tobytes()), minhashes(t).tobytes() if len(t) else b"", first.tobytes(), least)
+                first, least = prefix(t, levels)
+                got = (len(t), node_of(t), minhashes(t).tobytes() if len(t) else b"", first.tobytes(), least)
                 for col, x in zip(rows, got, strict=True):
                     col.append(x)
-            yield _batch(_SKETCH, rows)
+            yield _batch(_SKETCH, [b.column("doc_id").to_pylist(), b.column("text_key").to_pylist(), *rows])
 
-    return docs.select("doc_id", "text").mapInArrow(run, _SKETCH)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_key")).mapInArrow(run, _SKETCH)
 
 
 def _sets(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
-    """(doc, tokens) of the documents named by ids(doc), computed anew from their texts."""
+    """(node, tokens) of the sets named by ids(node, doc), computed anew from the texts of their documents."""
 
     def run(batches):
         for b in (part for batch in released(batches) for part in slices(batch, ROWS)):
-            yield _batch("doc long, tokens binary", [b.column("doc_id").to_pylist(), [shingles(t.as_py()).tobytes() for t in b.column("text")]])
+            sets = [shingles(t.as_py()) for t in b.column("text")]
+            yield _batch("node long, tokens binary", [list(map(node_of, sets)), [t.tobytes() for t in sets]])
 
-    wanted = docs.select("doc_id", "text").join(_small(n, 40, ids.select(F.col("doc").alias("doc_id"))), "doc_id", "left_semi")
-    return wanted.mapInArrow(run, "doc long, tokens binary").dropDuplicates(["doc"])
+    wanted = docs.select("doc_id", "text").join(_small(n, 40, ids.select(F.col("doc").alias("doc_id")).distinct()), "doc_id", "left_semi")
+    found = wanted.mapInArrow(run, "node long, tokens binary").join(_small(n, 40, ids.select("node")), "node", "left_semi")
+    return found.dropDuplicates(["node"])
 
 
-def _bucket_links(docs: DataFrame, heads: DataFrame) -> DataFrame:
+def _bucket_links(docs: DataFrame, heads: DataFrame, n_heads: int) -> DataFrame:
     """Exact links (a, b) of sets to the centres of their minhash buckets."""
 
     def keys(batches):
         for b in batches:
-            docs_out, keys_out = [], []
-            for doc, blob in zip(b.column("doc").to_pylist(), b.column("hashes").to_pylist(), strict=True):
+            nodes_out, keys_out = [], []
+            for node, blob in zip(b.column("node").to_pylist(), b.column("hashes").to_pylist(), strict=True):
                 h = np.frombuffer(blob, np.uint64)[:KEYS] * _M2 + np.arange(KEYS, dtype=np.uint64)
                 keys_out.extend(_signed(h).tolist())
-                docs_out.extend([doc] * KEYS)
-            yield _batch("doc long, key long", [docs_out, keys_out])
+                nodes_out.extend([node] * KEYS)
+            yield _batch("node long, key long", [nodes_out, keys_out])
 
-    dealt = heads.select("doc", "hashes").mapInArrow(keys, "doc long, key long")
-    centres = dealt.groupBy("key").agg(F.min("doc").alias("centre"), F.count("*").alias("n")).where("n > 1").select("key", "centre")
-    pairs = dealt.join(centres, "key").where("doc <> centre").select(F.col("centre").alias("a"), F.col("doc").alias("b")).distinct()
-    h = heads.select("doc", "hashes")
+    dealt = heads.select("node", "hashes").mapInArrow(keys, "node long, key long")
+    centres = dealt.groupBy("key").agg(F.min("node").alias("centre"), F.count("*").alias("n")).where("n > 1").select("key", "centre")
+    pairs = dealt.join(centres, "key").where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
+    h = heads.select("node", "hashes")
 
     def agree(batches):
         for b in batches:
             keep = [int((np.frombuffer(x, np.uint64) == np.frombuffer(y, np.uint64)).sum()) >= AGREE for x, y in zip(b.column("ha").to_pylist(), b.column("hb").to_pylist(), strict=True)]
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    both = pairs.join(h.select(F.col("doc").alias("a"), F.col("hashes").alias("ha")), "a").join(h.select(F.col("doc").alias("b"), F.col("hashes").alias("hb")), "b")
-    tried = stored(both.select("a", "b", "ha", "hb").mapInArrow(agree, "a long, b long"), "tried")
-    ids = tried.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
-    sets = stored(_sets(docs, ids, ids.count()), "sets")
+    both = pairs.join(h.select(F.col("node").alias("a"), F.col("hashes").alias("ha")), "a").join(h.select(F.col("node").alias("b"), F.col("hashes").alias("hb")), "b")
+    tried = stored(both.select("a", "b", "ha", "hb").mapInArrow(agree, "a long, b long"), "tried", n_heads)
+    ids = tried.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(heads.select("node", "doc"), "node")
+    sets = stored(_sets(docs, ids, n_heads), "sets")
 
     def verify(batches):
         for b in released(batches):
-            keep = [linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(b.column("ta").to_pylist(), b.column("tb").to_pylist(), strict=True)]
+            keep = [linked(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)) for x, y in zip(b.column("ta"), b.column("tb"), strict=True)]
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    full = tried.join(sets.select(F.col("doc").alias("a"), F.col("tokens").alias("ta")), "a").join(sets.select(F.col("doc").alias("b"), F.col("tokens").alias("tb")), "b")
-    return stored(full.select("a", "b", "ta", "tb").mapInArrow(verify, "a long, b long"), "bucket-links")
+    full = tried.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("ta")), "a").join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("tb")), "b")
+    return stored(full.select("a", "b", "ta", "tb").mapInArrow(verify, "a long, b long"), "bucket-links", n_heads)
 
 
-def make_groups(docs: DataFrame, heads: DataFrame) -> DataFrame:
-    """(doc, n, least, grp, label) for heads(doc, n, least, hashes): label is the smallest member that bucket links reach."""
-    label = components(_bucket_links(docs, heads))
-    sizes = label.groupBy("comp").agg(F.count("*").alias("size"))
-    # Parts of a component of about GROUP members each, by hash.
-    part = F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / F.lit(GROUP)))
+def make_groups(docs: DataFrame, heads: DataFrame, n_heads: int) -> DataFrame:
+    """(node, doc, n, least, grp, label) for heads(node, doc, n, least, hashes): label is the smallest member that bucket links reach."""
+    links = _bucket_links(docs, heads, n_heads)
+    label = components(links, links.count()).join(heads.select("node", "n"), "node")
+    sizes = label.groupBy("comp").agg(F.count("*").alias("size"), F.sum("n").alias("tokens"))
+    # Parts of a component of about GROUP members each, or fewer large ones, by hash.
+    part = F.pmod(F.xxhash64("node"), F.ceil(F.greatest(F.col("size") / F.lit(GROUP), F.col("tokens") / F.lit(GROUP_TOKENS))))
     parts = label.join(sizes, "comp").select("node", "comp", part.alias("part"))
     names = parts.groupBy("comp", "part").agg(F.min("node").alias("grp"))
-    grouped = parts.join(names, ["comp", "part"]).select(F.col("node").alias("doc"), "grp", F.col("comp").alias("label"))
-    joined = heads.select("doc", "n", "least").join(grouped, "doc", "left")
-    return stored(joined.select("doc", "n", "least", F.coalesce("grp", "doc").alias("grp"), F.coalesce("label", "doc").alias("label")), "groups")
+    grouped = parts.join(names, ["comp", "part"]).select("node", "grp", F.col("comp").alias("label"))
+    joined = heads.select("node", "doc", "n", "least").join(grouped, "node", "left")
+    return stored(joined.select("node", "doc", "n", "least", F.coalesce("grp", "node").alias("grp"), F.coalesce("label", "node").alias("label")), "groups", n_heads)
 
 
 _NEVER = np.int32(1 << 30)
 
 
-def _run_pairs(e: dict[str, np.ndarray], begin: np.ndarray, size: np.ndarray):
-    """Pairs of entries within runs that may belong to linked sets, in parts of bounded size."""
-    a_out, b_out, held = [], [], 0
+def _windows(e: dict[str, np.ndarray], run: np.ndarray, ends: np.ndarray):
+    """(order, at, begin, count): each entry, by its place in order, and the following places to pair it with.
+
+    run numbers the entries' runs, ends has the end of each. In a run ordered by
+    size the partners of an entry end where sets are too large for it; ordered by
+    label they begin after its own label. The shorter of the two is taken.
+    """
     s, t = THRESHOLD
-    for k in np.unique(size):
-        i, j = np.triu_indices(int(k), 1)
-        step = max(1, PAIRS_AT_ONCE // len(i))
-        at = begin[size == k]
-        for lo in range(0, len(at), step):
-            base = at[lo : lo + step, None]
-            x, y = (base + i).ravel(), (base + j).ravel()
+    by_size = np.lexsort((e["low"], run))
+    wide = np.int64(1) << 33
+    reach = np.searchsorted(run[by_size] * wide + e["low"][by_size], run[by_size] * wide + t * e["high"][by_size].astype(np.int64) // s, "right")
+    n_size = reach - np.arange(len(run)) - 1
+    by_label = np.lexsort((e["label"], run))
+    new = np.append(True, (run[by_label][1:] != run[by_label][:-1]) | (e["label"][by_label][1:] != e["label"][by_label][:-1]))
+    after = np.append(np.flatnonzero(new)[1:], len(run))[np.cumsum(new) - 1]
+    n_label = ends[run[by_label]] - after
+    first = np.append(0, ends[:-1])
+    labels = np.add.reduceat(n_label, first) < np.add.reduceat(n_size, first)
+    for order, at, begin, count in ((by_size, ~labels[run], np.arange(len(run)) + 1, n_size), (by_label, labels[run], after, n_label)):
+        at = np.flatnonzero(at & (count > 0))
+        yield order, at, begin[at], count[at]
+
+
+def _run_pairs(e: dict[str, np.ndarray], run: np.ndarray, ends: np.ndarray):
+    """Pairs of owners of entries within runs that may belong to linked sets, in parts of bounded size."""
+    s, t = THRESHOLD
+    for order, at, begin, count in _windows(e, run, ends):
+        total = np.cumsum(count)
+        lo = 0
+        while lo < len(at):
+            hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + PAIRS_AT_ONCE, "right")))
+            n = count[lo:hi]
+            x = order[np.repeat(at[lo:hi], n)]
+            y = order[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin[lo:hi], n)]
+            lo = hi
             fits = (e["label"][x] != e["label"][y]) & (t * e["high"][x] >= s * e["low"][y]) & (t * e["high"][y] >= s * e["low"][x])
-            x, y = x[fits], y[fits]
+            # Of a pair of salts the entries of either side meet; a salt by itself has one side.
+            fits &= e["across"][x] == (e["side"][x] != e["side"][y])
             # The smaller set has the token in its short prefix; of equally large ones both have.
             sx, sy, hx, hy = e["short"][x], e["short"][y], e["high"][x], e["high"][y]
-            fits = (sx < hy) | (sy < hx) | ((sx <= hy) & (sy <= hx))
+            fits &= (sx < hy) | (sy < hx) | ((sx <= hy) & (sy <= hx))
             x, y = e["owner"][x[fits]], e["owner"][y[fits]]
-            a_out.append(np.minimum(x, y))
-            b_out.append(np.maximum(x, y))
-            held += len(x)
-            if held > 2 * PAIRS_AT_ONCE:
-                yield np.concatenate(a_out), np.concatenate(b_out)
-                a_out, b_out, held = [], [], 0
-    if held:
-        yield np.concatenate(a_out), np.concatenate(b_out)
-
-
-def _overlaps(group: pa.Table) -> pa.Table:
-    """(a, b, shared) for pairs of groups of different labels that share entries of this bucket."""
-    t, owner, label, sizes = _gather(group)
-    by = np.lexsort((owner, t))
-    t, owner, label, sizes = t[by], owner[by], (label + owner)[by], sizes[by]
-    e = {}
-    if len(t):
-        first = np.flatnonzero(np.append(True, (t[1:] != t[:-1]) | (owner[1:] != owner[:-1])))
-        n = sizes // 2
-        e = {"low": np.minimum.reduceat(n, first), "high": np.maximum.reduceat(n, first), "short": np.minimum.reduceat(np.where(sizes % 2 == 1, n, _NEVER), first)}
-        t, e["owner"], e["label"] = t[first], owner[first], label[first]
-    edge = np.flatnonzero(np.append(True, t[1:] != t[:-1])) if len(t) else np.zeros(0, np.int64)
-    size = np.diff(np.append(edge, len(t)))
-    many = size > 1
-    sums: list[tuple] = []
-    for a, b in _run_pairs(e, edge[many], size[many]):
-        by = np.lexsort((b, a))
-        a, b = a[by], b[by]
-        at = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
-        sums.append((a[at], b[at], np.diff(np.append(at, len(a)))))
-    a, b, n = (np.concatenate(x) for x in zip(*sums, strict=True)) if sums else [np.zeros(0, np.int64)] * 3
-    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "shared": pa.array(n.astype(np.int64), pa.int64())})
-
-
-def qualifying(sketches: DataFrame, groups: DataFrame, n_groups: int) -> DataFrame:
+            yield np.minimum(x, y), np.maximum(x, y)
+
+
+def _summed(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """(a, b, n) with one row for each pair."""
+    a, b, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+    by = np.lexsort((b, a))
+    a, b, n = a[by], b[by], n[by]
+    at = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+    return a[at], b[at], np.add.reduceat(n, at)
+
+
+def overlaps(cols: list[np.ndarray]):
+    """Tables (a, b, shared) of pairs of groups of different labels that share entries of this bucket, of bounded size."""
+    t, owner, label, sizes, unit = cols
+    if not len(t):
+        return
+    label = label + owner
+    by = np.lexsort((owner, unit, t))
+    t, owner, label, sizes, unit = (x[by] for x in (t, owner, label, sizes, unit))
+    first = np.flatnonzero(np.append(True, (t[1:] != t[:-1]) | (unit[1:] != unit[:-1]) | (owner[1:] != owner[:-1])))
+    n = sizes // 2
+    e = {"low": np.minimum.reduceat(n, first), "high": np.maximum.reduceat(n, first), "short": np.minimum.reduceat(np.where(sizes % 2 == 1, n, _NEVER), first)}
+    t, unit, e["owner"], e["label"] = t[first], unit[first], owner[first], label[first]
+    e["side"] = unit & 1
+    pair = unit >> 1
+    new = np.append(True, (t[1:] != t[:-1]) | (pair[1:] != pair[:-1]))
+    size = np.diff(np.append(np.flatnonzero(new), len(t)))
+    several = np.repeat(size > 1, size)
+    e["across"] = (pair - 1) // MAX_SALTS != (pair - 1) % MAX_SALTS
+    e["across"][pair == 0] = False
+    e = {k: v[several] for k, v in e.items()}
+    size = size[size > 1]
+    if not len(size):
+        return
+    held, rows = [], 0
+    for a, b in _run_pairs(e, np.repeat(np.arange(len(size)), size), np.cumsum(size)):
+        held.append((a, b, np.ones(len(a), np.int64)))
+        rows += len(a)
+        if rows >= 2 * PAIRS_AT_ONCE:
+            held = [_summed(held)]
+            rows = len(held[0][0])
+            if rows >= PAIRS_AT_ONCE:
+                yield _batch(_SHARED, list(held[0]))
+                held, rows = [], 0
+    if rows:
+        yield _batch(_SHARED, list(_summed(held)))
+
+
+_SHARED = "a long, b long, shared long"
+
+
+def wide_tokens(rows: DataFrame, levels: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(tokens, salts) of tokens with more than WIDE matrix entries, sorted by token.
+
+    Only tokens whose counter allows so many are counted, in all of rows(prefix). Beyond
+    WIDE_TOKENS of them the others stay whole, which costs time and memory, not links.
+    """
+    if int(levels.max(initial=0)) < least:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    order = rows.sparkSession.sparkContext.broadcast(levels)
+
+    def count(batches):
+        for b in (part for batch in released(batches) for part in slices(batch, ROWS)):
+            t = np.frombuffer(b"".join(b.column("prefix").to_pylist()), np.uint64)
+            t, n = np.unique(t[order.value[counter(t)] >= least], return_counts=True)
+            yield _batch("token long, n long", [_signed(t), n])
+
+    found = rows.select("prefix").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") > WIDE)
+    found = found.orderBy(F.desc("n"), "token").limit(WIDE_TOKENS).collect()
+    t = np.array([r["token"] for r in found], np.int64).view(np.uint64)
+    salts = np.minimum(-(-2 * np.array([r["n"] for r in found], np.int64) // WIDE), MAX_SALTS)
+    by = np.argsort(t)
+    return t[by], salts[by]
+
+
+def salted(cols: dict[str, np.ndarray], wide: np.ndarray, salts: np.ndarray) -> dict[str, np.ndarray]:
+    """cols with units: an entry of a wide token is sent to each pair of salts that its group's salt is part of."""
+    t, owner = cols["tokens"], cols["owners"]
+    units = np.zeros(len(t), np.int32)
+    at = np.minimum(np.searchsorted(wide, t), len(wide) - 1) if len(wide) else units
+    is_wide = wide[at] == t if len(wide) else np.zeros(len(t), bool)
+    if not is_wide.any():
+        return cols | {"units": units}
+    n = salts[at[is_wide]]
+    x = owner[is_wide].view(np.uint64) * _M1
+    mine = ((x ^ (x >> np.uint64(31))) % n.astype(np.uint64)).astype(np.int64)
+    mine, other = np.repeat(mine, n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    pair = np.minimum(mine, other) * MAX_SALTS + np.maximum(mine, other)
+    out = {k: np.concatenate([v[~is_wide], np.repeat(v[is_wide], n)]) for k, v in cols.items()}
+    return out | {"units": np.concatenate([units[~is_wide], 2 * (pair + 1) + (mine > other)]).astype(np.int32)}
+
+
+def qualifying(sketches: DataFrame, groups: DataFrame, n_groups: int, levels: np.ndarray, wide_level: int) -> DataFrame:
     """Pairs of groups (a, b) whose overlap in the matrix reaches the bound of some members."""
+    spark = groups.sparkSession
     entries = groups.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"] // 3
-    buckets = max(int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions")), entries // TOKENS_PER_BUCKET)
-    side = _small(n_groups, 60, groups.select(F.col("doc").alias("doc_id"), "grp", "label"))
-    rows = sketches.select("doc_id", "prefix", "n_shingles", "least").join(side, "doc_id").select("prefix", "n_shingles", "least", "grp", "label")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(parts, entries // TOKENS_PER_BUCKET)
+    side = _small(n_groups, 60, groups.select("node", F.col("doc").alias("doc_id"), "grp", "label"))
+    rows = sketches.select("node", "doc_id", "prefix", "n_shingles", "least").join(side, ["node", "doc_id"]).select("prefix", "n_shingles", "least", "grp", "label")
+    wide = spark.sparkContext.broadcast(wide_tokens(rows, levels, wide_level))
 
     def pack(batches):
         held, size = [], 0
@@ -356,10 +482,25 @@ def qualifying(sketches: DataFrame, groups: DataFrame, n_groups: int) -> DataFra
         n, least, grp, label = (np.repeat(np.array([r[k] for r in held], np.int64), counts) for k in (1, 2, 3, 4))
         place = np.arange(sum(counts)) - np.repeat(np.cumsum(counts) - counts, counts)
         short = place < n - need_larger(n) + least
-        return _deal(buckets, np.concatenate([r[0] for r in held]), grp, label, 2 * n + short)
+        return _deal(buckets, **salted({"tokens": np.concatenate([r[0] for r in held]), "owners": grp, "labels": label, "sizes": 2 * n + short}, *wide.value))
 
-    shared = rows.mapInArrow(pack, _DEAL).groupBy("bucket").applyInArrow(_overlaps, "a long, b long, shared long")
-    shared = shared.groupBy("a", "b").agg(F.sum("shared").alias("shared"))
+    def meet(batches):
+        held, now = [], None
+        for b in released(batches):
+            for bucket, *cells in zip(b.column("bucket").to_pylist(), *(b.column(c) for c in _KINDS), strict=True):
+                if bucket != now:
+                    yield from met(held)
+                    held, now = [], bucket
+                held.append([c.as_py() for c in cells])
+        yield from met(held)
+
+    def met(held):
+        if held:
+            yield from overlaps([np.frombuffer(b"".join(x), kind) for x, kind in zip(zip(*held, strict=True), _KINDS.values(), strict=True)])
+
+    # A task reads its buckets one after the other, and holds one.
+    dealt = rows.mapInArrow(pack, _DEAL).repartition(max(parts, buckets // 8), "bucket").sortWithinPartitions("bucket")
+    shared = dealt.mapInArrow(meet, _SHARED).groupBy("a", "b").agg(F.sum("shared").alias("shared"))
     bounds = groups.groupBy("grp").agg(F.min("least").alias("least"), F.min("n").alias("low"), F.max("n").alias("high"))
     one = bounds.select(F.col("grp").alias("a"), F.col("least").alias("la"), F.col("low").alias("wa"), F.col("high").alias("ha"))
     two = bounds.select(F.col("grp").alias("b"), F.col("least").alias("lb"), F.col("low").alias("wb"), F.col("high").alias("hb"))
@@ -367,16 +508,16 @@ def qualifying(sketches: DataFrame, groups: DataFrame, n_groups: int) -> DataFra
     return shared.join(one, "a").join(two, "b").where((F.col("shared") >= F.least("la", "lb")) & (t * F.col("ha") >= s * F.col("wb")) & (t * F.col("hb") >= s * F.col("wa"))).select("a", "b")
 
 
-def open_groups(docs: DataFrame, groups: DataFrame, pairs: DataFrame) -> DataFrame:
+def open_groups(docs: DataFrame, groups: DataFrame, pairs: DataFrame, n_groups: int) -> DataFrame:
     """An exact link (a, b) between members for every pair of groups that has one."""
-    pairs = stored(pairs, "qualifying")
-    ids = groups.join(pairs.select(F.explode(F.array("a", "b")).alias("grp")).distinct(), "grp", "left_semi").select("doc", "grp")
-    ids = stored(ids, "opened")
-    sets = _sets(docs, ids, ids.count()).join(ids, "doc")
-    held = stored(sets.groupBy("grp").agg(F.collect_list(F.struct("doc", "tokens")).alias("sets")), "group-sets")
+    pairs = stored(pairs, "qualifying", n_groups)
+    ids = groups.join(pairs.select(F.explode(F.array("a", "b")).alias("grp")).distinct(), "grp", "left_semi").select("node", "doc", "grp")
+    ids = stored(ids, "opened", n_groups)
+    sets = _sets(docs, ids, ids.count()).join(ids.select("node", "grp"), "node")
+    held = stored(sets.groupBy("grp").agg(F.collect_list(F.struct("node", "tokens")).alias("sets")), "group-sets")
 
     def read(cell):
-        return [(r["doc"], np.frombuffer(r["tokens"], np.uint64)) for r in cell.as_py()]
+        return [(r["node"], np.frombuffer(r["tokens"], np.uint64)) for r in cell.as_py()]
 
     def compare(batches):
         for b in released(batches):
@@ -400,39 +541,57 @@ def open_groups(docs: DataFrame, groups: DataFrame, pairs: DataFrame) -> DataFra
             yield _batch("a long, b long", [xs, ys])
 
     full = pairs.join(held.select(F.col("grp").alias("a"), F.col("sets").alias("xs")), "a").join(held.select(F.col("grp").alias("b"), F.col("sets").alias("ys")), "b")
-    return full.select("xs", "ys").mapInArrow(compare, "a long, b long")
+    return stored(full.select("xs", "ys").mapInArrow(compare, "a long, b long"), "links", n_groups)
+
+
+def linked_rows(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_key, n_shingles, component_id) for each of docs; text_key is xxhash64 of the text."""
+    small_batches(docs.sparkSession)
+    levels = token_levels(docs)
+    wide_level = int(level_of(np.array([WIDE]), 0.0)[0])
+    sketches = stored(sketch(docs, levels), "sketches")
+    # Two rows are one class if their sets are equal; a class without any doc_id takes no part.
+    classes = sketches.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc"))
+    n_rows = sketches.count()
+    classes = stored(classes, "classes", n_rows)
+    n_classes = classes.count()
+    heads = sketches.select("node", F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"), "least", "hashes").join(_small(n_classes, 80, classes), ["node", "doc"], "left_semi").dropDuplicates(["node"])
+    heads = stored(heads, "heads", n_classes)
+    groups = make_groups(docs, heads, n_classes)
+    links = open_groups(docs, groups, qualifying(sketches, groups, n_classes, levels, wide_level), n_classes)
+    label = groups.select("node", "doc", "label")
+    ends = links.join(label.select(F.col("node").alias("a"), F.col("label").alias("la")), "a").join(label.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b")
+    joined = components(ends.select(F.col("la").alias("a"), F.col("lb").alias("b")), links.count())
+    whole = label.join(joined.withColumnRenamed("node", "label"), "label", "left").select("node", "doc", F.coalesce("comp", "label").alias("whole"))
+    least = whole.groupBy("whole").agg(F.min("doc").alias("component"))
+    by_node = stored(whole.join(_small(n_classes, 40, least), "whole").select("node", "component"), "components", n_classes)
+    return sketches.select("doc_id", "text_key", "n_shingles", "node").join(_small(n_classes, 40, by_node), "node", "left").select(
+        "doc_id", "text_key", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"),
+    )
 
 
 def link_components(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each of docs.
 
     A null text, and one without words, has no set: n_shingles is 0 and its
-    component is itself. Repeated rows are one set, so they share a component. A row
+    component is itself. Repeated rows are one set, so they share a component. Rows of
+    one doc_id with different texts are two sets, each with its own component. A row
     without a doc_id has the component of the documents it links with by an equal
-    set, else null.
+    set, else null. Other columns of docs are not read. An empty table gives none.
     """
-    sketches = stored(sketch(docs), "sketches")
-    classes = stored(sketches.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("doc")), "classes")
-    n_classes = classes.count()
-    heads = sketches.select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"), "least", "hashes", "set_key").join(_small(n_classes, 80, classes), ["set_key", "doc"], "left_semi").dropDuplicates(["doc"]).select("doc", "n", "least", "hashes")
-    heads = stored(heads, "heads")
-    groups = make_groups(docs, heads)
-    links = open_groups(docs, groups, qualifying(sketches, groups, n_classes))
-    label = groups.select("doc", "label")
-    ends = links.join(label.select(F.col("doc").alias("a"), F.col("label").alias("la")), "a").join(label.select(F.col("doc").alias("b"), F.col("label").alias("lb")), "b")
-    joined = components(ends.select(F.col("la").alias("a"), F.col("lb").alias("b")))
-    final = label.join(joined.withColumnRenamed("node", "label"), "label", "left").select("doc", F.coalesce("comp", "label").alias("component"))
-    by_key = classes.join(final, "doc").select("set_key", "component")
-    return sketches.select("doc_id", "n_shingles", "set_key").join(_small(n_classes, 80, by_key), "set_key", "left").select(
-        "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"),
-    )
+    return linked_rows(docs).select("doc_id", "n_shingles", "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs without the documents that aren't the smallest of their component; all columns stay."""
-    found = link_components(docs)
-    gone = stored(found.where("component_id <> doc_id").select("doc_id").distinct(), "near-copies")
-    return docs.join(_small(gone.count(), 40, gone), "doc_id", "left_anti").select(docs.columns)
+    """docs without the documents that aren't the smallest of their component; all columns stay.
+
+    Rows of the smallest doc_id all stay, and so do rows without a doc_id whose set
+    no named document has.
+    """
+    found = linked_rows(docs).where("component_id IS NOT NULL AND NOT (component_id <=> doc_id)")
+    gone = stored(found.select("doc_id", "text_key").distinct(), "near-copies")
+    gone = _small(gone.count(), 40, gone.select(F.col("doc_id").alias("__doc"), F.col("text_key").alias("__key")))
+    return docs.join(gone, docs["doc_id"].eqNullSafe(F.col("__doc")) & F.xxhash64(docs["text"]).eqNullSafe(F.col("__key")), "left_anti").select(docs.columns)
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -178,8 +178,7 @@ def plain_components(texts):
     return {i: (len(sets[i]), comp[i]) for i in sets}
 
 
-def test_jaccard_components(spark, docs, monkeypatch):
-    monkeypatch.setattr(jaccard_join, "HOT_SHARE", 1)  # on few documents, look at all of them for the order
+def test_jaccard_components(spark, docs):
     texts = dict(enumerate(TEXTS))
     r = random.Random(9)
     for f in range(12):  # families whose members lie around the threshold, and a passage they all share
@@ -199,7 +198,8 @@ def test_jaccard_components(spark, docs, monkeypatch):
     assert jaccard_join.link_components(empty(docs)).count() == 0
 
 
-def test_jaccard_components_with_the_sampled_order(spark):
+def shared_passage():
+    """Families around the threshold that all share a passage: it is frequent, so it comes last in the order."""
     r, texts = random.Random(4), {}
     for f in range(90):
         base = text_of(r.randint(20, 90), 500 + f).split()
@@ -208,12 +208,85 @@ def test_jaccard_components_with_the_sampled_order(spark):
             for _ in range(r.randint(0, max(1, len(w) // 20))):
                 w[r.randrange(len(w))] = f"e{r.randrange(999)}"
             texts[4 * f + m] = " ".join(w) + " " + PASSAGE
+    return texts
+
+
+def test_jaccard_components_with_a_shared_passage(spark):
+    texts = shared_passage()
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
-    assert len(jaccard_join.frequent_tokens(df)[0]) > 40  # the passage is in the sample
+    levels = jaccard_join.token_levels(df)
+    passage = jaccard_join.shingles(PASSAGE)
+    assert len(levels) == jaccard_join.COUNTERS and (levels[jaccard_join.counter(passage)] > 0).all()
+    assert (levels > 0).sum() == len({int(c) for c in jaccard_join.counter(passage)})
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.link_components(df).collect()}
     assert got == plain_components(texts)
 
 
+def test_jaccard_components_with_salted_tokens(spark, monkeypatch):
+    """Tokens of very many groups are dealt by pairs of salts; small bounds make every common token one."""
+    for name, value in (("WIDE", 4), ("FREQUENT", 1), ("GROUP", 3), ("GROUP_TOKENS", 150), ("PAIRS_AT_ONCE", 7), ("MAX_SALTS", 64)):
+        monkeypatch.setattr(jaccard_join, name, value)
+    texts = shared_passage()
+    for f in range(30):  # only the passage and a few words
+        texts[1000 + f] = PASSAGE + " " + text_of(3 + f % 9, 900 + f)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.link_components(df).collect()}
+    assert got == plain_components(texts)
+
+
+def plain_shared(entries):
+    """Of entries (token, owner, label, size, short): pairs of owners that may link, by how many tokens they share."""
+    by_token, found = defaultdict(list), Counter()
+    for t, *rest in entries:
+        by_token[t].append(rest)
+    for group in by_token.values():
+        for i, (o, la, n, s) in enumerate(group):
+            for p, lb, m, z in group[:i]:
+                if la != lb and 4 * min(n, m) >= 3 * max(n, m) and ((s if n < m else z) if n != m else s and z):
+                    found[min(o, p), max(o, p)] += 1
+    return found
+
+
+@pytest.mark.parametrize("wide", [0, 3])
+def test_overlaps_are_those_of_all_pairs(wide, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "PAIRS_AT_ONCE", 50)
+    r = random.Random(wide)
+    owners = {o: (r.randrange(6), r.randrange(4, 40), r.random() < 0.7) for o in range(60)}
+    entries = [(t, o, *owners[o]) for t in range(12) for o in r.sample(range(60), r.randint(0, 50))]
+    t, o, label, n, short = (np.array(x) for x in zip(*entries, strict=True))
+    cols = {"tokens": (t.astype(np.uint64) << np.uint64(40)) + np.uint64(5), "owners": o, "labels": label, "sizes": 2 * n + short}
+    tokens = np.unique(cols["tokens"])[: wide * 4]
+    cols = jaccard_join.salted(cols, tokens, np.full(len(tokens), 5))
+    got = Counter()
+    dealt = jaccard_join._deal(7, **cols).to_pylist()
+    for bucket in {row["bucket"] for row in dealt}:
+        rows = [row for row in dealt if row["bucket"] == bucket]
+        packed = [np.frombuffer(b"".join(row[c] for row in rows), kind) for c, kind in jaccard_join._KINDS.items()]
+        for batch in jaccard_join.overlaps(packed):
+            for a, b, k in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "shared")), strict=True):
+                got[a, b] += k
+    assert got == plain_shared(entries)
+
+
+def test_a_token_of_20_000_groups_is_met_in_parts():
+    n = 20_000
+    size = (10 * 1.0005 ** np.arange(n)).astype(np.int32)  # of all sizes
+    cols = [np.zeros(n, np.uint64), np.arange(n), np.zeros(n, np.int64), 2 * size + 1, np.zeros(n, np.int32)]
+    rows = [batch.num_rows for batch in jaccard_join.overlaps(cols)]  # each its own label
+    assert sum(rows) > n and max(rows) < 4 * jaccard_join.PAIRS_AT_ONCE
+    cols[2] = -np.arange(n)  # one label: nothing to pair
+    assert not list(jaccard_join.overlaps(cols))
+
+
+def test_jaccard_texts_of_one_id_are_two_sets(spark):
+    a, b = text_of(40, 71), text_of(40, 72)
+    df = spark.createDataFrame([(5, a), (5, b), (3, b), (9, a), (9, a), (None, a), (None, "alone")], "doc_id long, text string").repartition(3)
+    got = sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in jaccard_join.link_components(df).collect())
+    assert got == sorted([("5", 36, "5"), ("5", 36, "3"), ("3", 36, "3"), ("9", 36, "5"), ("9", 36, "5"), ("None", 36, "5"), ("None", 1, "None")])
+    kept = sorted((str(r["doc_id"]), r["text"]) for r in jaccard_join.keep_one(df).collect())
+    assert kept == sorted([("5", a), ("3", b), ("None", "alone")])
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(50, 60), (60, 50), (70, 70)], "a long, b long")
     got = {r["node"]: r["comp"] for r in components(edges).collect()}
@@ -225,7 +298,7 @@ def test_components_of_long_chains(spark):
     falling, shuffled = list(range(n))[::-1], random.Random(3).sample(range(n), n)
     chains = [falling, [1000 + i for i in shuffled], [2000 + i for i in [*range(0, n, 2), *range(1, n, 2)[::-1]]]]
     links = [p for c in chains for p in zip(c, c[1:], strict=False)]
-    got = {r["node"]: r["comp"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    got = {r["node"]: r["comp"] for r in components(spark.createDataFrame(links, "a long, b long"), len(links)).collect()}
     assert got == {i: min(c) for c in chains for i in c}
 
 
