@@ -195,14 +195,14 @@ def token_levels(docs: DataFrame) -> np.ndarray:
                 np.add.at(counts, counter(np.concatenate(sets)), np.uint32(1))
         task = TaskContext.get().partitionId() // FAN_IN
         parts = range(0, COUNTERS, COUNTERS_AT_ONCE)
-        packed = [pa.compress(counts[at : at + COUNTERS_AT_ONCE].astype(np.int64), "zstd", asbytes=True) for at in parts]
+        packed = [pa.compress(counts[at : at + COUNTERS_AT_ONCE], "zstd", asbytes=True) for at in parts]
         yield _batch("part int, task int, counts binary", [[*range(len(parts))], [task] * len(parts), packed])
 
     def add(group: pa.Table) -> pa.Table:
         total = np.zeros(COUNTERS_AT_ONCE, np.int64)
         for c in group.column("counts"):
-            total += np.frombuffer(pa.decompress(c.as_py(), 8 * COUNTERS_AT_ONCE, "zstd"), np.int64)
-        packed = pa.compress(total, "zstd", asbytes=True)
+            total += np.frombuffer(pa.decompress(c.as_py(), 4 * COUNTERS_AT_ONCE, "zstd"), np.uint32)
+        packed = pa.compress(np.minimum(total, (1 << 32) - 1).astype(np.uint32), "zstd", asbytes=True)
         return pa.table({"part": group.column("part")[:1], "task": pa.array([group.column("task")[0].as_py() // FAN_IN], pa.int32()), "counts": pa.array([packed], pa.binary())})
 
     schema = "part int, task int, counts binary"
@@ -212,7 +212,7 @@ def token_levels(docs: DataFrame) -> np.ndarray:
     counts = np.zeros(COUNTERS, np.int64)
     for r in seen.collect():  # COUNTERS numbers at most, whatever the corpus
         at = r["part"] * COUNTERS_AT_ONCE
-        counts[at : at + COUNTERS_AT_ONCE] += np.frombuffer(pa.decompress(r["counts"], 8 * COUNTERS_AT_ONCE, "zstd"), np.int64)
+        counts[at : at + COUNTERS_AT_ONCE] += np.frombuffer(pa.decompress(r["counts"], 4 * COUNTERS_AT_ONCE, "zstd"), np.uint32)
     return level_of(counts, float(counts.mean()))
 
 
