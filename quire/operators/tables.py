@@ -165,19 +165,27 @@ def whitespace_tables(lines: DataFrame, keys: list[str]) -> DataFrame:
     bin_of = lambda x: F.greatest(F.lit(0), F.least(F.lit(WS_BINS - 1), F.floor((x - F.col("x0")) / step).cast("int")))
     all_words = F.flatten(F.transform("lines", lambda x: x["words"]))
     used = F.array_distinct(F.flatten(F.transform(all_words, lambda w: F.sequence(bin_of(w["x0"]), F.greatest(bin_of(w["x0"]), bin_of(w["x1"]))))))
-    run = run.withColumn("used", F.sort_array(used)).withColumn("step", step)
     least_gap = max(2, int(WS_BINS * 0.012))
-    # A separator is a run of empty bins between two used ones.
-    places = F.filter(F.sequence(F.lit(1), F.greatest(F.size("used") - 1, F.lit(1))), lambda i: F.coalesce(F.get("used", i) - F.get("used", i - 1) - 1, F.lit(0)) >= least_gap)
-    separators = F.transform(places, lambda i: F.col("x0") + (F.get("used", i - 1) + 1 + F.get("used", i)) / 2 * F.col("step"))
-    run = run.withColumn("edges", F.concat(F.array(F.col("x0") - 1.0), separators, F.array(F.col("x1") + 1.0))).where(F.size("edges") - 1 >= WS_MIN_COLS)
     cell = lambda ws, lo, hi: clean(F.array_join(F.transform(F.filter(ws, lambda w: ((w["x0"] + w["x1"]) / 2 >= lo) & ((w["x0"] + w["x1"]) / 2 < hi)), lambda w: w["text"]), " "))
-    cols = F.sequence(F.lit(0), F.size("edges") - 2)
-    rows = F.transform("lines", lambda x: F.transform(cols, lambda i: cell(x["words"], F.get("edges", i), F.get("edges", i + 1))))
-    run = run.withColumn("rows", rows)
-    n, width = F.size("rows"), F.size("edges") - 1
-    multi = F.size(F.filter("rows", lambda r: F.size(F.filter(r, lambda c: c != "")) >= 2))
-    every = F.forall(cols, lambda i: F.size(F.filter("rows", lambda r: F.get(r, i) != "")) >= n * 0.6)
-    confidence = F.size(F.filter(F.flatten("rows"), lambda c: c != "")) / (n * width)
-    good = (multi >= n * 0.7) & (multi >= WS_MIN_COLS) & every & (_prose_cells(F.col("rows")) <= n * 0.5) & (confidence >= 0.55)
-    return run.where(good).select(*by, "x0", "top", "x1", "bottom", "rows", F.round(confidence, 3).alias("confidence"))
+
+    def edges(u: Column) -> Column:
+        # A separator is a run of empty bins between two used ones.
+        places = F.filter(F.sequence(F.lit(1), F.greatest(F.size(u) - 1, F.lit(1))), lambda i: F.coalesce(F.get(u, i) - F.get(u, i - 1) - 1, F.lit(0)) >= least_gap)
+        separators = F.transform(places, lambda i: F.col("x0") + (F.get(u, i - 1) + 1 + F.get(u, i)) / 2 * step)
+        return F.concat(F.array(F.col("x0") - 1.0), separators, F.array(F.col("x1") + 1.0))
+
+    def grid(e: Column) -> Column:
+        cols = F.sequence(F.lit(0), F.size(e) - 2)
+        return F.transform("lines", lambda x: F.transform(cols, lambda i: cell(x["words"], F.get(e, i), F.get(e, i + 1))))
+
+    def judged(r: Column) -> Column:
+        n, width = F.size(r), F.size(F.get(r, F.lit(0)))
+        multi = F.size(F.filter(r, lambda x: F.size(F.filter(x, lambda c: c != "")) >= 2))
+        every = F.forall(F.sequence(F.lit(0), width - 1), lambda i: F.size(F.filter(r, lambda x: F.get(x, i) != "")) >= n * 0.6)
+        confidence = F.size(F.filter(F.flatten(r), lambda c: c != "")) / (n * width)
+        good = (width >= WS_MIN_COLS) & (multi >= n * 0.7) & (multi >= WS_MIN_COLS) & every & (_prose_cells(r) <= n * 0.5) & (confidence >= 0.55)
+        return F.when(good, F.array(F.struct(r.alias("rows"), F.round(confidence, 3).alias("confidence"))))
+
+    # Each step is bound once, and the explode keeps the optimiser from computing it for every use.
+    table = let(F.sort_array(used), lambda u: let(edges(u), lambda e: let(grid(e), judged)))
+    return run.select(*by, "x0", "top", "x1", "bottom", F.explode(table).alias("t")).select(*by, "x0", "top", "x1", "bottom", "t.rows", "t.confidence")

@@ -174,7 +174,27 @@ def geo_reading_order(spark, sf_dir):
     return L.reading_order(e, ["page"]).select("page", "p_partkey", "element_no")
 
 
-@query("geo_ws_tables")
+_SQL_WS = """WITH l AS (SELECT p_partkey % 50 AS page, p_partkey AS line_no, trunc(p_partkey / 50) * CASE WHEN p_partkey % 50 > 25 THEN 16.0 ELSE 13.0 END AS top,
+  list_filter([{'t': p_partkey::VARCHAR, 'x': 0.0}, {'t': p_brand, 'x': 150.0}, {'t': CASE WHEN p_partkey % 5 = 0 THEN '' ELSE p_type END, 'x': 320.0}], lambda w: w.t <> '') AS ws FROM part),
+w0 AS (SELECT page, line_no, top, unnest(range(1, len(ws) + 1)) AS k, ws FROM l),
+w AS (SELECT page, line_no, top, k, ws[k].t AS t, ws[k].x::DOUBLE AS x0, ws[k].x + length(ws[k].t) * 5.0::DOUBLE AS x1 FROM w0),
+g AS (SELECT *, x0 - lag(x1) OVER (PARTITION BY page, line_no ORDER BY k) AS gap FROM w),
+f AS (SELECT page, line_no, any_value(top) AS top, any_value(top) + 10 AS bottom, max(x1) AS x1, count(*) >= 2 AND coalesce(max(gap), 0) >= quantile_cont((x1 - x0) / greatest(length(t), 1), 0.5) * 1.4 * 2.2 AS fits FROM g GROUP BY page, line_no),
+b AS (SELECT *, NOT fits OR coalesce(top - lag(bottom) OVER o > greatest(lag(bottom) OVER o - lag(top) OVER o, 6) * 2.2, true) OR NOT coalesce(lag(fits) OVER o, false) AS br FROM f WINDOW o AS (PARTITION BY page ORDER BY line_no)),
+r AS (SELECT page, line_no, x1, sum(br::INT) OVER (PARTITION BY page ORDER BY line_no)::BIGINT AS run_no, fits FROM b),
+run AS (SELECT page, run_no, count(*) AS n, greatest(max(x1), 1) / 300 AS step FROM r WHERE fits GROUP BY ALL HAVING count(*) >= 3),
+c AS (SELECT page, run_no, n, step, line_no, k, t, x0, x1, greatest(0, least(299, floor(x0 / step)))::BIGINT AS lo, greatest(0, least(299, floor(x1 / step)))::BIGINT AS hi FROM run JOIN (SELECT page, line_no, run_no FROM r WHERE fits) USING (page, run_no) JOIN w USING (page, line_no)),
+u AS (SELECT DISTINCT page, run_no, step, unnest(range(lo, greatest(lo, hi) + 1)) AS bin FROM c),
+s AS (SELECT page, run_no, list((a + 1 + bin) / 2 * step) AS cuts FROM (SELECT *, lag(bin) OVER (PARTITION BY page, run_no ORDER BY bin) AS a FROM u) WHERE bin - a - 1 >= 3 GROUP BY ALL),
+cell AS (SELECT page, run_no, any_value(n) AS n, line_no, len(list_filter(cuts, lambda x: x <= (x0 + x1) / 2)) AS col, any_value(len(cuts)) + 1 AS width, string_agg(t, ' ' ORDER BY k) AS t FROM c JOIN s USING (page, run_no) GROUP BY page, run_no, line_no, col),
+by_line AS (SELECT page, run_no, count(*) FILTER (k >= 2) AS multi FROM (SELECT page, run_no, line_no, count(*) AS k FROM cell GROUP BY ALL) GROUP BY ALL),
+by_col AS (SELECT page, run_no, min(k) AS least, count(*) AS cols FROM (SELECT page, run_no, col, count(*) AS k FROM cell GROUP BY ALL) GROUP BY ALL),
+whole AS (SELECT page, run_no, any_value(n) AS n, any_value(width) AS width, count(*) AS filled, count(*) FILTER (length(t) > 55 AND regexp_matches(t, '[.;:]')) AS prose FROM cell GROUP BY ALL)
+SELECT page, run_no, n AS n_rows, width::BIGINT AS n_columns, round(filled / (n * width), 3) AS confidence FROM whole JOIN by_line USING (page, run_no) JOIN by_col USING (page, run_no)
+WHERE multi >= n * 0.7 AND multi >= 2 AND cols = width AND least >= n * 0.6 AND prose <= n * 0.5 AND filled / (n * width) >= 0.55"""
+
+
+@query("geo_ws_tables", _SQL_WS)
 def geo_ws_tables(spark, sf_dir):
     """Three cells in a row of wide gaps, runs of lines by part brand."""
     k = F.col("p_partkey")
