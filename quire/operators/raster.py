@@ -10,6 +10,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 LOW, HIGH, MIN_SPREAD = 0.02, 0.98, 20
 MERGE_GAP = 14.0
@@ -66,34 +67,42 @@ def longest_run(points: DataFrame, keys: list[str], at: str, gap: int = 4) -> Da
     return bands(points, keys, at, gap).groupBy(*keys).agg(F.max_by(F.struct("start", "end"), length).alias("r")).select(*keys, "r.start", "r.end")
 
 
-def cluster_positions(points: DataFrame, keys: list[str], at: str, tolerance: float) -> DataFrame:
+def cluster_positions(points: DataFrame, keys: list[str], at: str, tolerance: float | Column) -> DataFrame:
     """Mean positions of chains of values whose neighbours lie within tolerance."""
     order = Window.partitionBy(*keys).orderBy(at)
     new = F.coalesce(F.col(at) - F.lag(at).over(order) > tolerance, F.lit(True)).cast("int")
     return points.withColumn("__new", new).withColumn("__c", F.sum("__new").over(order)).groupBy(*keys, "__c").agg(F.avg(at).alias("position")).drop("__c")
 
 
+def label(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """cells(keys, y, x, ...) with component, from 1 on in the order of their first cells; eight neighbours join."""
+    schema = StructType([*cells.schema.fields, StructField("component", LongType())])
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        number: dict[tuple[int, int], int] = {}
+        places = list(zip(pdf["y"].tolist(), pdf["x"].tolist(), strict=True))
+        there = set(places)
+        n = 0
+        for first in sorted(there):
+            if first in number:
+                continue
+            n += 1
+            number[first] = n
+            wave = [first]
+            while wave:
+                near = {(y + dy, x + dx) for y, x in wave for dy in (-1, 0, 1) for dx in (-1, 0, 1)}
+                wave = [c for c in near if c in there and c not in number]
+                number.update(dict.fromkeys(wave, n))
+        return pdf.assign(component=[number[c] for c in places])
+
+    return cells.groupBy(*keys).applyInPandas(run, schema)
+
+
 def components(cells: DataFrame, key: str) -> DataFrame:
     """(key, component, cells, x0, y0, x1, y1) of the marked cells(key, y, x), joined over eight neighbours."""
-    def label(pdf: pd.DataFrame) -> pd.DataFrame:
-        left = set(zip(pdf["y"].tolist(), pdf["x"].tolist(), strict=True))
-        out = []
-        for start in sorted(left):
-            if start not in left:
-                continue
-            left.remove(start)
-            part, at = [start], 0
-            while at < len(part):
-                y, x = part[at]
-                at += 1
-                near = {(y + dy, x + dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1)} & left
-                left -= near
-                part.extend(sorted(near))
-            ys, xs = [p[0] for p in part], [p[1] for p in part]
-            out.append((pdf[key].iloc[0], len(out) + 1, len(part), min(xs), min(ys), max(xs), max(ys)))
-        return pd.DataFrame(out, columns=[key, "component", "cells", "x0", "y0", "x1", "y1"])
-
-    return cells.select(key, "y", "x").groupBy(key).applyInPandas(label, f"{key} long, component long, cells long, x0 long, y0 long, x1 long, y1 long")
+    long = lambda f, c, n: f(c).cast("long").alias(n)
+    found = label(cells.select(key, "y", "x").distinct(), [key]).groupBy(key, "component")
+    return found.agg(F.count("*").alias("cells"), long(F.min, "x", "x0"), long(F.min, "y", "y0"), long(F.max, "x", "x1"), long(F.max, "y", "y1"))
 
 
 def merge_close(regions: Column, gap: float = MERGE_GAP) -> Column:

@@ -92,11 +92,13 @@ def gather(hits: DataFrame) -> DataFrame:
     """Candidates by (doc, kind, folded text): first surface, count, pages, first contexts."""
     shown = F.regexp_replace(T.collapse(F.col("hit")), "^[ .,;:]+|[ .,;:]+$", "")
     rows = hits.withColumn("shown", shown).where(F.length("shown").between(3, 90)).withColumn("key", T.fold(F.col("shown")))
-    firsts = F.slice(F.sort_array(F.collect_list(F.struct("ord", "context"))), 1, SAMPLES)
-    return rows.groupBy("doc", "kind", "key").agg(
-        F.min("ord").alias("ord"), F.min_by("shown", "ord").alias("text"), F.count("*").alias("count"),
-        F.sort_array(F.collect_set("page")).alias("pages"), F.transform(firsts, lambda x: x["context"]).alias("samples"),
-    )
+    by = ["doc", "kind", "key"]
+    # The first contexts are ranked, not collected: a limit by group drops the others before the shuffle.
+    rank = F.row_number().over(Window.partitionBy(*by).orderBy("ord"))
+    firsts = rows.select(*by, "ord", "context", rank.alias("n")).where(F.col("n") <= SAMPLES)
+    samples = firsts.groupBy(*by).agg(F.transform(F.sort_array(F.collect_list(F.struct("ord", "context"))), lambda x: x["context"]).alias("samples"))
+    found = rows.groupBy(*by).agg(F.min("ord").alias("ord"), F.min_by("shown", "ord").alias("text"), F.count("*").alias("count"), F.sort_array(F.collect_set("page")).alias("pages"))
+    return found.join(samples, by)
 
 
 def repeated_lines(pages: DataFrame) -> DataFrame:

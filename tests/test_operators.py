@@ -1,6 +1,7 @@
 """Scan, redaction, layout, tables, rasters and sinks on literal rows."""
 
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -158,10 +159,33 @@ def test_every_query_runs_and_has_a_stable_schema(spark):
     for name, q in catalogue.queries().items():
         df = q(spark, SF)
         assert len(set(df.columns)) == len(df.columns), name
+        start = time.monotonic()
+        df.write.format("noop").mode("overwrite").save()
+        assert time.monotonic() - start < 60, name
     assert set(catalogue.oracle_sql()) <= set(catalogue.queries())
     assert catalogue.queries()["scan_candidates"](spark, SF).count() > 0
 
 
+def test_markdown_spans_fields_and_paragraphs(spark):
+    from quire.sources import markdown as M
+
+    text = "---\ntitle: 'A b'\nlang: es\n---\n# H\none `x **y**` and\n  **two** [l](u)\n\nthree\n---\n"
+    lines = M.parse(spark.createDataFrame([(1, text), (2, "plain\n---"), (3, None)], "doc_id long, text string")).cache()
+    assert [(r["name"], r["value"]) for r in M.front_matter(lines).orderBy("name").collect()] == [("lang", "es"), ("title", "A b")]
+    got = [(r["doc_id"], r["line_no"], r["text"]) for r in M.paragraphs(lines).orderBy("doc_id", "line_no").collect()]
+    assert got[1:] == [(1, 6, "one `x **y**` and **two** [l](u)"), (1, 9, "three"), (2, 1, "plain")]
+    spans = lines.where("doc_id = 1 AND line_no IN (6, 7)").orderBy("line_no").select(M.spans(F.col("line")).alias("s")).collect()
+    assert [tuple(x) for r in spans for x in r["s"]] == [("code", "x **y**"), ("bold", "two"), ("link", "l")]
+
+
+def test_a_candidate_keeps_its_first_three_contexts(spark):
+    from quire.operators import scan as S
+
+    pages = spark.createDataFrame([("d", p, f"write to a@b.org, page {p}") for p in range(9, 0, -1)], "doc string, page long, text string")
+    (r,) = S.gather(S.detector_hits(pages, ["email"])).collect()
+    assert r["count"] == 9 and r["pages"] == list(range(1, 10)) and [s[-1] for s in r["samples"]] == ["1", "2", "3"]
+
+
 def test_stream(spark, tmp_path):
     from quire.streaming import drop_folder
 
