@@ -54,8 +54,8 @@ def geo_occupancy(spark, sf_dir):
     return L.occupancy(words_of(spark, sf_dir), ["doc_id"], F.lit(600.0)).select("doc_id", F.col("bin").cast("long").alias("bin"), "words")
 
 
-# ---- two columns: even lines on the right, cut to fit -----------------------------
-_SQL_TWO = f"SELECT doc_id, text, x0 + CASE WHEN line_no % 2 = 0 THEN 320 ELSE 0 END AS x0, x1 + CASE WHEN line_no % 2 = 0 THEN 320 ELSE 0 END AS x1, 12.0 * ((line_no - 1) // 2) AS top, 12.0 * ((line_no - 1) // 2) + 10 AS bottom FROM ({_SQL_WORDS}) WHERE x1 <= 270"
+# ---- two columns: even lines on the right, long ones go on at the left of their column -----------------------------
+_SQL_TWO = f"SELECT doc_id, text, x + c AS x0, least(x + 6.0 * length(text), 282) + c AS x1, 12.0 * ((line_no - 1) // 2) AS top, 12.0 * ((line_no - 1) // 2) + 10 AS bottom FROM (SELECT *, x0 % 252 AS x, CASE WHEN line_no % 2 = 0 THEN 320 ELSE 0 END AS c FROM ({_SQL_WORDS}))"
 _SQL_GUTTERS = f"""
 w AS ({_SQL_TWO}),
 u AS (SELECT DISTINCT doc_id, unnest(range(greatest(0, least(399, floor(x0 / 1.5)::BIGINT)), greatest(0, least(399, floor(x1 / 1.5)::BIGINT)) + 1)) AS bin FROM w),
@@ -69,7 +69,8 @@ cuts AS (SELECT doc_id, list(cut ORDER BY cut) AS cuts FROM ok WHERE no <= 2 GRO
 
 def two_columns(spark, sf_dir):
     right, row = F.when(F.col("line_no") % 2 == 0, 320.0).otherwise(0.0), F.floor((F.col("line_no") - 1) / 2) * F.lit(12.0)
-    return words_of(spark, sf_dir).where("x1 <= 270").select("doc_id", "text", (F.col("x0") + right).alias("x0"), (F.col("x1") + right).alias("x1"), row.alias("top"), (row + 10).alias("bottom"))
+    x0, x1 = F.col("x0") % 252, F.least(F.col("x0") % 252 + F.length("text") * 6.0, F.lit(282.0))
+    return words_of(spark, sf_dir).select("doc_id", "text", (x0 + right).alias("x0"), (x1 + right).alias("x1"), row.alias("top"), (row + 10).alias("bottom"))
 
 
 @query("geo_columns", f"WITH {_SQL_GUTTERS} SELECT doc_id, column_no, count(*) AS words FROM (SELECT doc_id, coalesce(len(list_filter(cuts, lambda c: c <= (x0 + x1) / 2)), 0) AS column_no FROM w LEFT JOIN cuts USING (doc_id)) GROUP BY ALL")
@@ -101,7 +102,7 @@ def geo_lines(spark, sf_dir):
 
 
 # ---- lines with sizes: the first one large and bold, gaps after every fifth ----------
-_SQL_STYLED = f"""SELECT doc_id, line_no, CASE WHEN line_no % 9 = 0 THEN upper(replace(left(t, 40), 'ß', 'ss')) ELSE t END AS text, CASE WHEN line_no = 1 THEN 14.0 WHEN line_no % 9 = 0 THEN 11.5 ELSE 10.0 END AS size,
+_SQL_STYLED = f"""SELECT doc_id, line_no, CASE WHEN line_no % 9 = 0 THEN upper(replace(t, 'ß', 'ss')) ELSE t END AS text, CASE WHEN line_no = 1 THEN 14.0 WHEN line_no % 9 = 0 THEN 11.5 ELSE 10.0 END AS size,
   CASE WHEN line_no = 1 OR line_no % 7 = 0 THEN 1.0 ELSE 0.0 END AS bold_ratio, 18.0 * (line_no % 3) AS x0, 18.0 * (line_no % 3) + least(540.0, 6.0 * length(t)) AS x1,
   13.0 * line_no + 9 * (line_no // 5) AS top, 13.0 * line_no + 9 * (line_no // 5) + 10 AS bottom FROM (SELECT doc_id, line_no, {_SQL_OPENED} AS t FROM ({sql_lines()}))"""
 
@@ -111,7 +112,7 @@ def styled(spark, sf_dir):
     base = lines_of(spark, sf_dir).select("doc_id", "line_no", _opened(F.col("line"), n).alias("t"))
     top, x0 = n * 13.0 + F.floor(n / 5) * 9, (n % 3) * 18.0
     return base.select(
-        "doc_id", "line_no", F.when(n % 9 == 0, F.upper(F.replace(F.left(t, F.lit(40)), F.lit("ß"), F.lit("ss")))).otherwise(t).alias("text"), F.when(n == 1, 14.0).when(n % 9 == 0, 11.5).otherwise(10.0).alias("size"),
+        "doc_id", "line_no", F.when(n % 9 == 0, F.upper(F.replace(t, F.lit("ß"), F.lit("ss")))).otherwise(t).alias("text"), F.when(n == 1, 14.0).when(n % 9 == 0, 11.5).otherwise(10.0).alias("size"),
         F.when((n == 1) | (n % 7 == 0), 1.0).otherwise(0.0).alias("bold_ratio"), x0.alias("x0"), (x0 + F.least(F.lit(540.0), F.length(t) * 6.0)).alias("x1"), top.alias("top"), (top + 10).alias("bottom"),
     )
 
