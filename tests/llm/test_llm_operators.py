@@ -444,6 +444,45 @@ def test_html_templates_of_a_host_with_many_pages(spark):
     assert all(got[i]["text"] == f"{text}{i}" + ("\n\nblock of 40 pages" if i < 40 else "") for i in range(1000))
 
 
+def test_html_templates_are_those_of_a_plain_count_and_decide(spark):
+    """Menus, adverts and footers differ from page to page; their shapes recur, so counts alone remove them."""
+    pages = [(r["page_id"], r["url"], r["html"]) for r in table(spark, SF.replace("0.001", "0.01"), "pages").collect()]
+    host = lambda u: re.sub(r"^[a-z]+://([^/?#]*).*", r"\1", u, flags=re.S).lower()
+    of_host, seen = Counter(), defaultdict(Counter)
+    for _, url, page in pages:
+        of_host[host(url)] += 1
+        seen[host(url)].update(html_extract.subtree_hashes(page))
+    want = {h: {k for k, n in c.items() if n >= 5 and (n >= 0.2 * of_host[h] or n >= 100)} for h, c in seen.items()}
+    found = {r["host"]: set(r["subtrees"]) for r in html_extract.find_templates(table(spark, SF.replace("0.001", "0.01"), "pages")).collect()}
+    assert found == {h: t for h, t in want.items() if t}
+    judged = changed = clear = alike = 0
+    for _, url, page in pages:
+        if of_host[host(url)] >= 5:
+            judged += 1
+            bare, whole = (html_extract.main_text(page, t, guards=False) for t in (want[host(url)], ()))
+            changed += bare != whole and "<nav" in page
+            article = html_extract.main_text(page)
+            if 2 * len(article) > len(whole):  # else no part holds most of the page
+                clear += 1
+                alike += bare == article
+    assert judged > 50 and changed > 0.9 * judged and clear > 50 and alike > 0.9 * clear
+
+
+def test_html_of_any_depth_and_length():
+    text = html_extract.main_text
+    n = 100_000
+    assert text("<div>" * n + "deep") == "deep" and text("<b>" * n + "deep" + "</i>" * n) == "deep"
+    assert text("<article>" + "<p><span>" * n + "x") == "x"
+    assert text('<a x="' * n) == '<a x="' * (n - 1) + '<a x="' and text("<!--" * n) == ""  # no tag ends, so it is text
+    assert text("<p>a" + "<a x='" * n + ">b") == "a\n\nb"[:1] + "b"
+    many = "".join(f"<p>{i}</p>" for i in range(n))
+    assert text(f"<article>{many}</article>").count("\n\n") == n - 1
+    dotted = "\u0130" * 20
+    assert text(f"<article>{dotted}<SCRIPT>a</p></sCRIPT><p>kept</p></article>") == f"{dotted}\n\nkept"
+    assert text("<article><p class='related work'>a</p><div class='share-price'>b</div></article>") == "a\n\nb"
+    assert text("<p>a &lt; b < c <3 &amp;c</p>") == "a < b < c <3 &c"
+
+
 # ---- 10 suffix dedup -------------------------------------------------------------------------
 def plain_removal(rows):
     first, out = {}, {}
