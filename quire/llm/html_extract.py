@@ -223,6 +223,7 @@ def measure(nodes: list[Node]) -> list[Node]:
                     size = sum(map(len, words))
                     n.size += size
                     n.text += size
+                    n.plain += size
                     shapes.add(0)
             else:
                 h.update(c.key.to_bytes(8, "little"))
