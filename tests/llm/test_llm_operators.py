@@ -317,8 +317,8 @@ def plain_rule(url):
 
 def test_url_rules_and_forest(spark):
     pages = spark.createDataFrame(list(enumerate(URLS)), "page_id long, url string")
-    forest = url_filter.train(url_filter.labels_of(pages))
-    for r in url_filter.filter_urls(pages, forest).collect():
+    forest, judged = url_filter.learn(pages)
+    for r in url_filter.filter_urls(pages, forest, judged.threshold).collect():
         host, path, rule, verdict = plain_rule(URLS[r["page_id"]])
         assert (r["host"], r["path"], r["rule"]) == (host, path, rule) and r["verdict"] == (verdict or r["verdict"]) and r["verdict"] in ("allow", "block")
     # The trees learn what the seeds say: a made-up rule of digits in the host.
@@ -330,6 +330,74 @@ def test_url_rules_and_forest(spark):
     assert url_filter.filter_urls(pages.limit(0), none).count() == 0
 
 
+def plain_forest(x, y, w, cuts):
+    """Trees of the same kind grown by trying every cut on every row; the scores of the rows."""
+    mean = (w * y).sum() / w.sum()
+    margin = np.full(len(y), np.log(mean / (1 - mean)))
+    for _ in range(url_filter.TREES):
+        p = 1 / (1 + np.exp(-margin))
+        g, h = w * (y - p), w * p * (1 - p)
+        leaves, grown = [np.ones(len(y), bool)], False
+        for _ in range(url_filter.DEPTH):
+            following = []
+            for node in leaves:
+                gain = lambda m: g[m].sum() ** 2 / (h[m].sum() + url_filter.RIDGE)
+                best = (1e-6, None)
+                for f, marks in cuts.items():
+                    for c in marks:
+                        low, high = node & (x[f] <= c), node & (x[f] > c)
+                        got = gain(low) + gain(high) - gain(node)
+                        if got > best[0] + 1e-9 and h[low].sum() > 0.5 and h[high].sum() > 0.5:
+                            best = (got, (low, high))
+                following += best[1] or [node]
+                grown |= best[1] is not None
+            leaves = following
+        if not grown:
+            break
+        for node in leaves:
+            margin[node] += url_filter.RATE * g[node].sum() / (h[node].sum() + url_filter.RIDGE)
+    return 1 / (1 + np.exp(-margin))
+
+
+def test_url_scores_are_those_of_a_plain_forest(spark):
+    r = random.Random(8)
+    rows = []
+    for i in range(160):
+        bad = r.random() < 0.4
+        name = "-".join(r.choice(["win", "shop", "news", "lab"]) for _ in range(1 + 2 * bad * (r.random() < 0.8))) + (str(r.randrange(999)) if bad else "")
+        rows.append((i, f"http{'s' * (i % 3 > 0)}://{name}.{r.choice(['com', 'net', 'info'])}/a/{i}?x={i}" + "&y=1" * (bad and i % 2), int(bad), 1.0 + i % 2))
+    df = spark.createDataFrame(rows, "page_id long, url string, label int, weight double")
+    forest = url_filter.train(df)
+    host, path = url_filter.url_parts(F.col("url"))
+    cols = url_filter._with_suffix(url_filter.features(F.col("url"), host, path), host, forest.suffix_rates, forest.mean_rate)
+    got = df.select("page_id", "label", "weight", *(c.alias(k) for k, c in cols.items())).orderBy("page_id").toPandas()
+    rates = {s: (sum(w * y for _, u, y, w in rows if url_suffix(u) == s) + 20 * forest.mean_rate) / (sum(w for _, u, _, w in rows if url_suffix(u) == s) + 20) for s in ("com", "net", "info")}
+    assert dict(forest.suffix_rates) == pytest.approx(rates)
+    x = {k: got[k].to_numpy() for k in cols}
+    often = np.repeat(np.arange(len(got)), got["weight"].astype(int))
+    cuts = {k: sorted({np.quantile(x[k][often], i / url_filter.BINS) for i in range(1, url_filter.BINS)}) for k in cols}
+    want = plain_forest(x, got["label"].to_numpy(), got["weight"].to_numpy(), cuts)
+    found = [r["score"] for r in url_filter.filter_urls(df, forest).orderBy("page_id").collect()]
+    assert np.mean(np.abs(np.array(found) - want) < 0.02) > 0.95 and np.corrcoef(found, want)[0, 1] > 0.995
+
+
+def url_suffix(url):
+    return plain_rule(url)[0].rsplit(".", 1)[-1]
+
+
+def test_url_threshold_spares_allowed_urls(spark):
+    """Labels that say nothing block nothing; those of a clear kind are kept apart."""
+    noise = spark.createDataFrame([(f"http://h{i}.net/{i}", zlib.crc32(str(i).encode()) % 2) for i in range(800)], "url string, label int")
+    forest = url_filter.train(noise.withColumn("weight", F.lit(1.0)))
+    fresh = spark.createDataFrame([(f"http://h{i}.net/{i}", zlib.crc32(str(i).encode()) % 2) for i in range(800, 1600)], "url string, label int")
+    judged = url_filter.judge(forest, fresh)
+    assert judged.false_share <= url_filter.MAX_FALSE and judged.recall < 0.1
+    clear = spark.createDataFrame([(f"http://{'a1b2c3' if i % 2 else 'abcdef'}.net/x/{i}", i % 2) for i in range(400)], "url string, label int")
+    judged = url_filter.judge(url_filter.train(clear.withColumn("weight", F.lit(1.0))), clear)
+    assert judged.threshold == 0.5 and judged.precision == judged.recall == 1.0 and judged.false_share == 0.0
+    assert url_filter.judge(forest, fresh.limit(0)) == url_filter.Judged(0.5, None, 0.0, 0.0)
+
+
 def test_url_verdicts_do_not_depend_on_the_number_of_ruled_rows(spark):
     hosts = ["alpha.org", "www.beta-news.org", "gamma.com", "m.delta9.com", "example.org"]
     paths = ["/en/{}", "/fr/{}?page=2", "/de/{}/x", "/es/{}.html?a=1&b=2"]
@@ -338,7 +406,8 @@ def test_url_verdicts_do_not_depend_on_the_number_of_ruled_rows(spark):
     seen = []
     for n in (100, 1000, 20_000):
         ruled = spark.createDataFrame([(f"http://{hosts[i % 5]}{paths[i // 5 % 4].format(100_000 + i)}",) for i in range(n)], "url string")
-        got = url_filter.filter_urls(pages, url_filter.train(url_filter.labels_of(ruled))).where("rule is null")
+        forest, judged = url_filter.learn(ruled)
+        got = url_filter.filter_urls(pages, forest, judged.threshold).where("rule is null")
         seen.append({r["page_id"]: r["verdict"] for r in got.collect()})
     assert seen[0] == seen[1] == seen[2] and set(seen[0].values()) == {"allow", "block"}
 
