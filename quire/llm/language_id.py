@@ -238,24 +238,26 @@ def is_held_out(doc_id: int) -> bool:
 
 
 def train(docs: DataFrame) -> Model | None:
-    """Fit on at most DOCS_PER_LANG documents of each of MAX_LANGS languages, in the order of their hash.
+    """Fit on at most DOCS_PER_LANG rows of each of MAX_LANGS languages, in the order of their hash.
 
-    Held-out documents, and those without a text or a language, are never read.
+    Held-out documents, and those without a text or a language, are never read. Of
+    each language only hashes so low that about twice as many rows have one are
+    ranked, so a frequent language is no hot key. Repeated rows count one by one.
     """
     rows = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = rows.select("doc_id", "lang").withColumn("n", F.row_number().over(order)).where(F.col("n") <= DOCS_PER_LANG)
     prior = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()}
-    langs = list(prior)
-    # At most DOCS_PER_LANG x MAX_LANGS rows of two columns.
-    chosen = ids.where(F.col("lang").isin(langs)).select("doc_id", F.lit(1).alias("__in")) if langs else ids.limit(0).select("doc_id", F.lit(1).alias("__in"))
-    sample = rows.select("doc_id", "lang", "text").join(F.broadcast(chosen), "doc_id", "left_semi")
+    if not prior:
+        return None
+    bound = lambda n: min((1 << 63) - 1, -(1 << 63) + (1 << 64) * (2 * DOCS_PER_LANG + 100) // n)
+    low = F.coalesce(*(F.when(F.col("lang") == lang, F.xxhash64("doc_id") <= F.lit(bound(n))) for lang, n in prior.items()), F.lit(False))
     # Of each text only the bytes of its training windows travel.
     step = F.greatest((F.octet_length("text") - TRAIN_WINDOW) / float(WINDOWS_PER_DOC - 1), F.lit(0.0))
     binary = F.col("text").cast("binary")
     cuts = F.array(*(F.substring(binary, (F.floor(step * k) + 1).cast("int"), F.lit(TRAIN_WINDOW)) for k in range(WINDOWS_PER_DOC)))
-    got = sample.select("doc_id", "lang", F.array_distinct(cuts).alias("cuts")).collect()
-    got.sort(key=lambda r: (r["lang"], r["doc_id"], len(r["cuts"])))
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "cuts")
+    ranked = rows.where(low).select("doc_id", "lang", F.array_distinct(cuts).alias("cuts")).withColumn("n", F.row_number().over(order))
+    got = ranked.where(F.col("n") <= DOCS_PER_LANG).select("doc_id", "lang", "cuts").collect()
+    got.sort(key=lambda r: (r["lang"], r["doc_id"], len(r["cuts"]), r["cuts"]))
     return fit([bytes(c) for r in got for c in r["cuts"]], [r["lang"] for r in got for _ in r["cuts"]], prior=prior)
 
 
@@ -263,15 +265,17 @@ def _has_letter(text: str) -> bool:
     return any(map(str.isalpha, text))
 
 
-def predict(docs: DataFrame, model: Model | None, extra: bool = False) -> DataFrame:
+def predict(docs: DataFrame, model: Model | None, extra: bool = False, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """docs with lang_pred and score: every column if extra, else doc_id alone beside them.
 
     Nulls and texts without a letter, and every text if there is no model, give
-    UNKNOWN and a score of 0. Only the text is read.
+    UNKNOWN and a score of 0. Only the text is read, all of it however long, in
+    windows. Repeated rows repeat; equal texts get equal answers. An empty table
+    gives none. With extra, docs must not have columns called as names.
     """
     cols = docs.columns if extra else ["doc_id"]
     source = docs if extra else docs.select("doc_id", "text")
-    clash = [c for c in cols if c in ("lang_pred", "score")]
+    clash = [c for c in cols if c in names]
     if clash:
         raise ValueError(f"docs has columns {clash} already")
     small_batches(docs.sparkSession)
@@ -289,9 +293,9 @@ def predict(docs: DataFrame, model: Model | None, extra: bool = False) -> DataFr
                     k = int(p.argmax())
                     lang[i], score[i] = reader.langs[k], min(1.0, float(p[k]))
             kept = [b.column(b.schema.get_field_index(c)) for c in cols]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*cols, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*cols, *names])
 
-    schema = source.select(*cols).schema.add("lang_pred", "string").add("score", "double")
+    schema = source.select(*cols).schema.add(names[0], "string").add(names[1], "double")
     return source.mapInArrow(run, schema)
 
 

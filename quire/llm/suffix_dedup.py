@@ -300,12 +300,12 @@ def _first_pass(buckets: int):
             bucket = (h >> np.uint64(16)) % np.uint64(buckets)
             by = np.argsort(bucket, kind="stable")
             cols = [h[by], docs[owner][by], (f - starts[owner])[by].astype(np.int32), (last - f + 1)[by].astype(np.uint8)]
-            cut = np.searchsorted(bucket[by], np.arange(buckets + 1).astype(np.uint64))
-            for k in range(buckets):
-                if cut[k] < cut[k + 1]:
-                    out_bucket.append(k)
-                    out_doc.append(None)
-                    out_blob.append(_pack(*(c[cut[k] : cut[k + 1]] for c in cols)))
+            dealt = bucket[by]
+            edge = np.flatnonzero(np.append(True, dealt[1:] != dealt[:-1])) if len(dealt) else np.zeros(0, np.int64)
+            for lo, hi in zip(edge, np.append(edge, len(dealt))[1:], strict=True):
+                out_bucket.append(int(dealt[lo]))
+                out_doc.append(None)
+                out_blob.append(_pack(*(c[lo:hi] for c in cols)))
             for at in range(0, len(out_bucket), 4000):
                 s = slice(at, at + 4000)
                 yield pa.RecordBatch.from_arrays([pa.array(out_bucket[s], pa.int32()), pa.array(out_doc[s], pa.int64()), pa.array(out_blob[s], pa.binary())], ["bucket", "doc", "blob"])
@@ -340,17 +340,17 @@ def _cut_strings(buckets: int):
     """Texts with the anchors they share: the bytes of those strings, dealt by hash."""
 
     def run(batches):
-        held: list[list[tuple]] = [[] for _ in range(buckets)]
+        held: dict[int, list[tuple]] = {}
         size = 0
 
         def flush():
-            for at in range(0, buckets, 512):
-                rows = [(k, _pack(*(np.concatenate([x[j] for x in held[k]]) for j in range(4))), b"".join(x[4] for x in held[k])) for k in range(at, min(at + 512, buckets)) if held[k]]
-                if rows:
-                    ks, heads, texts = zip(*rows, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(ks, pa.int32()), pa.array(heads, pa.binary()), pa.array(texts, pa.binary())], ["bucket", "head", "bytes"])
-            for x in held:
-                x.clear()
+            present = list(held)
+            for at in range(0, len(present), 512):
+                ks = present[at : at + 512]
+                heads = [_pack(*(np.concatenate([x[j] for x in held[k]]) for j in range(4))) for k in ks]
+                texts = [b"".join(x[4] for x in held[k]) for k in ks]
+                yield pa.RecordBatch.from_arrays([pa.array(ks, pa.int32()), pa.array(heads, pa.binary()), pa.array(texts, pa.binary())], ["bucket", "head", "bytes"])
+            held.clear()
 
         for b in released(batches):
             for text, blobs in zip(b.column("text"), b.column("blobs"), strict=True):
@@ -363,7 +363,7 @@ def _cut_strings(buckets: int):
                     s = by[a:z]
                     span = count[s].astype(np.int64) + LENGTH - 1
                     got = data[expand(first[s].astype(np.int64), span)].tobytes()
-                    held[bucket[s[0]]].append((h[s], doc[s], first[s], count[s], got))
+                    held.setdefault(int(bucket[s[0]]), []).append((h[s], doc[s], first[s], count[s], got))
                     size += len(got)
                 if size >= BATCH_BYTES:
                     yield from flush()
