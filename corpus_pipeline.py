@@ -3,6 +3,10 @@
 Every stage takes what the one before it kept, whole. The first three drop
 documents, the fourth rewrites texts, and the last returns the digests of the
 tokens; all but the last return the columns of documents.
+
+A row without a text, or without a letter in it, goes in the first stage. Rows
+without a doc_id take part in every stage; columns of any name pass through, nulls
+too. Repeated rows of a kept document all stay. An empty table gives none.
 """
 
 from __future__ import annotations
@@ -23,8 +27,8 @@ LEAST_SCORE = 0.3
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the network tells."""
-    seen = predict(docs, train(docs), extra=True)
-    return seen.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)).drop("lang_pred", "score")
+    seen = predict(docs, train(docs), extra=True, names=("__lang", "__score"))
+    return seen.where((F.col("__lang") != UNKNOWN) & (F.col("__score") >= LEAST_SCORE)).drop("__lang", "__score")
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
