@@ -35,6 +35,25 @@ _NO_RANK = 1 << 60
 _CONTROL = re.compile("[\x1c-\x1f]")
 _SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 _CHUNKS = re.compile(f"[^{_SPACE}]+")
+# Letters and numbers that Unicode assigned after version 16, whose table the
+# tokenizers library reads; the regex module has a newer one. To the library they are neither.
+NEWER = (
+    (0x558, 0x558), (0x58B, 0x58C), (0x88F, 0x88F), (0xC5C, 0xC5C), (0xCDC, 0xCDC), (0x208F, 0x208F), (0x209D, 0x209F), (0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2),
+    (0xA7D4, 0xA7D4), (0xA7DD, 0xA7DD), (0xA7E2, 0xA7E2), (0xA7F1, 0xA7F1), (0xAB6C, 0xAB6D), (0x107BB, 0x107BF), (0x10940, 0x10959), (0x10EC5, 0x10EC7),
+    (0x10ED9, 0x10EEE), (0x11B0A, 0x11B0A), (0x11DB0, 0x11DDB), (0x11DE0, 0x11DE9), (0x11DF1, 0x11DF1), (0x1246F, 0x1246F), (0x12475, 0x1247F), (0x12550, 0x12686),
+    (0x16EA0, 0x16EB8), (0x16EBB, 0x16ED3), (0x16FF2, 0x16FF6), (0x187F8, 0x187FF), (0x18CD6, 0x18CDA), (0x18D09, 0x18D20), (0x18D80, 0x18DF2), (0x18E00, 0x19191),
+    (0x191A0, 0x191D2), (0x1B123, 0x1B128), (0x1B168, 0x1B168), (0x1D6A6, 0x1D6A6), (0x1DF1F, 0x1DF24), (0x1DF2B, 0x1DF81), (0x1DF90, 0x1DF96), (0x1DFCD, 0x1DFFF),
+    (0x1E6C0, 0x1E6DE), (0x1E6E0, 0x1E6E2), (0x1E6E4, 0x1E6E5), (0x1E6E7, 0x1E6ED), (0x1E6F0, 0x1E6F4), (0x1E6FE, 0x1E6FF), (0x2B73A, 0x2B73F), (0x2B81E, 0x2B81E),
+    (0x2CEA2, 0x2CEAD), (0x323B0, 0x33479), (0x3D000, 0x3FC3F),
+)
+# Capitals that the library lower-cases and Python's tables don't know, (first, last, first small letter).
+CAPITALS = (
+    (0x1C89, 0x1C89, 0x1C8A), (0xA7CB, 0xA7CB, 0x264), (0xA7CC, 0xA7CC, 0xA7CD), (0xA7CE, 0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2, 0xA7D3), (0xA7D4, 0xA7D4, 0xA7D5),
+    (0xA7DA, 0xA7DA, 0xA7DB), (0xA7DC, 0xA7DC, 0x19B), (0x10D50, 0x10D65, 0x10D70), (0x16EA0, 0x16EB8, 0x16EBB),
+)
+_NEWER = re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in NEWER) + "]")
+_CAPITALS = re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b, _ in CAPITALS) + "]")
+_SMALL = {c: to + c - a for a, b, to in CAPITALS for c in range(a, b + 1)}
 
 
 def byte_letters() -> list[str]:
@@ -62,7 +81,8 @@ class WordBpe:
         self.vocab = data["vocab"]
         self.rank = {pair: i for i, pair in enumerate(data["merges"])}
         self.special = data["special"]
-        self.split = regex.compile(data["pattern"]).findall
+        pattern = regex.compile(data["pattern"])
+        self.split, self.places = pattern.findall, pattern.finditer
         self.token = {i: t for t, i in (self.vocab | self.special).items()}
         self.text_of_id = {i: str(i) for i in self.token}
         self.letters = byte_letters()
@@ -132,8 +152,8 @@ class WordBpe:
         ids = self.old_chunks.get(chunk)
         if ids is None:
             # Case is mapped letter by letter: a capital sigma has no final form here.
-            small = chunk.lower() if chunk.isascii() else unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()
-            words = self.split(small)
+            small = chunk.lower() if chunk.isascii() else self.fold(chunk)
+            words = self.split(small) if small.isascii() or not _NEWER.search(small) else self.split_newer(small)
             if words == [chunk]:
                 words = [chunk]  # one string and one tuple serve both memories
             ids = self.word(words[0]) if len(words) == 1 else tuple(chain.from_iterable(map(self.word, words)))
@@ -142,6 +162,15 @@ class WordBpe:
         self.by_chunk[chunk] = ids
         return ids
 
+    @staticmethod
+    def fold(chunk: str) -> str:
+        small = unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()
+        return small.translate(_SMALL) if _CAPITALS.search(small) else small
+
+    def split_newer(self, small: str) -> list[str]:
+        """The words if each newer letter is taken for a private character, which is no letter either."""
+        return [small[m.start() : m.end()] for m in self.places(_NEWER.sub("\ue000", small))]
+
     def encode(self, text: str) -> list[int]:
         if self.cut is not None and "<|" in text and (found := list(self.cut.finditer(text))):
             ids, end = [], 0

@@ -435,6 +435,19 @@ def test_bpe_equals_the_library(docs):
     assert bpe.digest_tokens(empty(docs), path).count() == 0
 
 
+def test_bpe_of_every_code_point_equals_the_library():
+    from tokenizers import Tokenizer
+
+    path = bpe.default_path()
+    lib, own = Tokenizer.from_file(path), bpe.WordBpe(bpe.load(path))
+    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for at in range(0, len(every), 4096):
+        texts = ["\n".join(f"a{c}B<{c}> 1{c}{c}" for c in every[at + i : at + i + 64]) for i in range(0, 4096, 64)]
+        got = lib.encode_batch(texts, add_special_tokens=False)
+        wrong = [t for t, e in zip(texts, got, strict=True) if own.encode(t) != e.ids]
+        assert not wrong, ascii(wrong[0])
+
+
 # ---- 8 secrets --------------------------------------------------------------------------
 def test_secrets_ledger_and_redaction(spark, docs, tmp_path):
     got = rows_of(secrets.find_secrets(docs))
