@@ -63,12 +63,31 @@ def safe_stem(name: Column, fallback: str = "documento") -> Column:
     return F.when(stem == "", fallback).otherwise(F.left(stem, F.lit(120)))
 
 
+def _one_decimal(x: Column) -> Column:
+    """A double from 0 on with one decimal, its exact value rounded half to even as C's printf does.
+
+    format_string rounds the shortest digits of a double half up. Ten times the
+    fraction is taken in two parts that are exact wherever a half is near.
+    """
+    whole = F.floor(x)
+    part = x - whole
+    head = F.floor(part * 2.0**26) / 2.0**26
+    ten, rest = head * 10, (part - head) * 10
+    low = F.floor(ten + rest)
+    half = (low - ten) + 0.5
+    up = (rest > half) | ((rest == half) & (low % 2 == 1))
+    tenths = low + up.cast("long")
+    shown = F.format_string("%d.%d", whole + F.floor(tenths / 10), tenths % 10)
+    return F.when(x < 2.0**53, shown).otherwise(F.format_string("%.1f", x))
+
+
 def human_size(n: Column) -> Column:
-    """Bytes as B, KB, MB or GB."""
+    """Bytes as B, KB, MB or GB, halves rounded to even."""
     d = n.cast("double")
+    in_unit = lambda size, name: F.concat(_one_decimal(d / size), F.lit(name))
     return (
-        F.when(d < 1024, F.format_string("%.0f B", d)).when(d < 1024**2, F.format_string("%.1f KB", d / 1024))
-        .when(d < 1024**3, F.format_string("%.1f MB", d / 1024**2)).otherwise(F.format_string("%.1f GB", d / 1024**3))
+        F.when(d < 1024, F.format_string("%.0f B", F.rint(d))).when(d < 1024**2, in_unit(1024, " KB"))
+        .when(d < 1024**3, in_unit(1024**2, " MB")).otherwise(in_unit(1024**3, " GB"))
     )
 
 

@@ -55,6 +55,14 @@ def test_pages_names_sizes(spark):
     assert ask(spark, [0, 2048, 5 * 1024**3], N.human_size, "long") == ["0 B", "2.0 KB", "5.0 GB"]
 
 
+def test_sizes_are_rounded_as_printf_does(spark):
+    k, g = 1024, 1024**3
+    sizes = [1023.5, 0.5, 2.5, 1.25 * k, 1.75 * k, 1.35 * k, 1.05 * k, 1.96875 * k, 1023.96 * k, 1227656.25 * g, 1227656.75 * g, 0.45 * k * k, 3.0, g - 1.0, 9.5e15 * k]
+    sizes += [k * (1 + x / 40) for x in range(1, 400)] + [k * (x + 0.05) for x in range(1, 200)]
+    unit = lambda d: ("%.0f B", 1) if d < k else ("%.1f KB", k) if d < k * k else ("%.1f MB", k * k) if d < g else ("%.1f GB", g)
+    assert ask(spark, sizes, N.human_size, "double") == [unit(d)[0] % (d / unit(d)[1]) for d in sizes]
+
+
 DETECTED = {
     "email": (["a.b@c.org"], ["a@b"]),
     "phone": (["+34 600 123 456"], ["12,50 30,00 45,75", "192.168.10.25"]),
