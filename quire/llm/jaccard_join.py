@@ -4,9 +4,10 @@ Documents are sets of hashed shingles; two link at a Jaccard similarity of at
 least 3/4. All links are found, none is enumerated twice over:
 
 1. Equal sets are one class, which its smallest document stands for.
-2. Classes are put into groups of similar sets: minhash buckets propose a centre
-   for each set, the link to it is verified exactly, and linked sets form groups
-   of about GROUP members. A group is connected by real links.
+2. Classes are put into groups of similar sets: each minhash bucket proposes
+   CENTRES of its sets to the others, a set tries the TRIED ones that its parity
+   bitmap says are most similar, the links to them are verified exactly, and linked
+   sets form groups of about GROUP members. A group is connected by real links.
 3. The token-group matrix has an entry (token, group) for the tokens that the
    members of the group have in their prefix, the first tokens in one global
    order. Linked sets x and y share at least min(l(x), l(y)) prefix tokens, where
@@ -15,9 +16,14 @@ least 3/4. All links are found, none is enumerated twice over:
    sets the smaller one must even have those tokens in its short prefix, of
    |x| - ceil(6/7 |x|) + l(x) tokens, so an entry knows the sizes it comes from
    and whether it is short; other pairs of entries don't count.
-4. Pairs of groups that share that many matrix entries qualify and are opened:
-   a member that shares too little with the other group's whole token union is
-   skipped, the others are compared set by set until one link is found.
+4. Pairs of groups that share that many matrix entries qualify. Those whose members'
+   bitmaps leave room for a link are opened: a member that shares too little with
+   the other group's whole token union is skipped, the others are compared set by
+   set until one link is found.
+
+A parity bitmap has a bit for each cell that an odd number of tokens fall into. Two
+of them differ in at most as many cells as the sets differ in tokens, which bounds
+the overlap from above; so no link is lost by them.
 
 In the order, tokens of many documents come last. How many a token has is read
 from counters over all documents, a fixed number whatever the corpus; tokens that
@@ -42,8 +48,10 @@ WORDS = 5
 THRESHOLD = (3, 4)
 #: Prefix tokens beyond the least: one for so many tokens of the set.
 EXTRA = 20
-#: Minhashes of a set, how many of them are bucket keys, and how many must agree for a bucket's centre to be tried.
-HASHES, KEYS, AGREE = 16, 6, 10
+#: Minhashes of a set, each a bucket key; sets of a bucket that are proposed to the others, and how many of them a set tries.
+KEYS, CENTRES, TRIED = 6, 4, 2
+#: Cells of a parity bitmap for each token, and the least and most of them; their number is a power of two.
+CELLS, MIN_CELLS, MAX_CELLS = 2, 64, 1 << 15
 #: Members of a group, and tokens of all its members together (one larger set makes a group).
 GROUP, GROUP_TOKENS = 48, 100_000
 #: Counters of documents for each token, by a part of its hash; how they travel; documents from which a token counts as frequent.
@@ -55,7 +63,7 @@ TOKENS_PER_BUCKET, TOKENS_AT_ONCE, PAIRS_AT_ONCE = 300_000, 500_000, 400_000
 ROWS = 500
 BROADCAST_BYTES = 32 << 20
 
-_MIX = np.random.default_rng(11).integers(1, 1 << 62, HASHES, np.uint64) * np.uint64(2) + np.uint64(1)
+_MIX = np.random.default_rng(11).integers(1, 1 << 62, KEYS, np.uint64) * np.uint64(2) + np.uint64(1)
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -79,13 +87,38 @@ def shingles(text: str | None) -> np.ndarray:
 
 
 def minhashes(tokens: np.ndarray) -> np.ndarray:
-    out = np.empty(HASHES, np.uint64)
+    out = np.empty(KEYS, np.uint64)
     for i, m in enumerate(_MIX):
         x = tokens * m
         out[i] = (x ^ (x >> np.uint64(32))).min()
     return out
 
 
+def bitmap(tokens: np.ndarray) -> np.ndarray:
+    """Parity bitmap of a set, as bytes."""
+    cells = min(MAX_CELLS, max(MIN_CELLS, 1 << (CELLS * len(tokens) - 1).bit_length())) if len(tokens) else MIN_CELLS
+    odd = np.bincount(((tokens >> np.uint64(20)) & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1
+    return np.packbits(odd.astype(np.uint8))
+
+
+def differing(x: np.ndarray, y: np.ndarray) -> int:
+    """Cells in which two bitmaps differ; the longer one is folded to the length of the other."""
+    if len(x) < len(y):
+        x, y = y, x
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def room(n: int, x: np.ndarray, m: int, y: np.ndarray) -> int:
+    """An upper bound of the tokens that sets of n and m tokens share, by their bitmaps; 0 if they can't link."""
+    a, b = THRESHOLD
+    if not n or not m or b * min(n, m) < a * max(n, m):
+        return 0
+    shared = min(n, m, (n + m - differing(x, y)) // 2)
+    return shared if b * shared >= a * (n + m - shared) else 0
+
+
 def need(n):
     """Tokens that a set must share with any set it links with."""
     a, b = THRESHOLD
@@ -221,7 +254,7 @@ def _small(rows: int, width: int, df: DataFrame) -> DataFrame:
     return F.broadcast(df) if rows * width <= BROADCAST_BYTES else df
 
 
-_SKETCH = "doc_id long, text_key long, n_shingles long, node long, hashes binary, prefix binary, least long"
+_SKETCH = "doc_id long, text_key long, n_shingles long, node long, hashes binary, bits binary, prefix binary, least long"
 
 
 def node_of(tokens: np.ndarray) -> int:
@@ -231,7 +264,7 @@ def node_of(tokens: np.ndarray) -> int:
 
 
 def sketch(docs: DataFrame, levels: np.ndarray) -> DataFrame:
-    """One pass over the texts: set size, name of the set, minhashes and prefix of every row.
+    """One pass over the texts: set size, name of the set, minhashes, bitmap and prefix of every row.
 
     text_key tells rows of one doc_id with different texts apart.
     """
@@ -241,11 +274,11 @@ def sketch(docs: DataFrame, levels: np.ndarray) -> DataFrame:
     def run(batches):
         levels = order.value
         for b in (part for batch in released(batches) for part in slices(batch, ROWS)):
-            rows = [[], [], [], [], []]
+            rows = [[], [], [], [], [], []]
             for text in b.column("text"):
                 t = shingles(text.as_py())
                 first, least = prefix(t, levels)
-                got = (len(t), node_of(t), minhashes(t).tobytes() if len(t) else b"", first.tobytes(), least)
+                got = (len(t), node_of(t), minhashes(t).tobytes() if len(t) else b"", bitmap(t).tobytes(), first.tobytes(), least)
                 for col, x in zip(rows, got, strict=True):
                     col.append(x)
             yield _batch(_SKETCH, [b.column("doc_id").to_pylist(), b.column("text_key").to_pylist(), *rows])
@@ -267,31 +300,44 @@ def _sets(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
 
 
 def _bucket_links(docs: DataFrame, heads: DataFrame, n_heads: int) -> DataFrame:
-    """Exact links (a, b) of sets to the centres of their minhash buckets."""
+    """Exact links (a, b) of sets to centres of their minhash buckets.
+
+    A bucket has several centres, which differ from key to key: a set that doesn't link
+    with one member of a large group of similar sets links with another, so that the
+    group gets one label, and the matrix doesn't have to find its pairs.
+    """
 
     def keys(batches):
         for b in batches:
             nodes_out, keys_out = [], []
             for node, blob in zip(b.column("node").to_pylist(), b.column("hashes").to_pylist(), strict=True):
-                h = np.frombuffer(blob, np.uint64)[:KEYS] * _M2 + np.arange(KEYS, dtype=np.uint64)
+                h = np.frombuffer(blob, np.uint64) * _M2 + np.arange(KEYS, dtype=np.uint64)
                 keys_out.extend(_signed(h).tolist())
                 nodes_out.extend([node] * KEYS)
             yield _batch("node long, key long", [nodes_out, keys_out])
 
     dealt = heads.select("node", "hashes").mapInArrow(keys, "node long, key long")
-    centres = dealt.groupBy("key").agg(F.min("node").alias("centre"), F.count("*").alias("n")).where("n > 1").select("key", "centre")
-    pairs = dealt.join(centres, "key").where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
-    h = heads.select("node", "hashes")
+    mark = lambda i: F.min(F.struct(F.xxhash64("node", "key", F.lit(i)).alias("h"), "node"))["node"]
+    centres = dealt.groupBy("key").agg(F.array_distinct(F.array(*map(mark, range(CENTRES)))).alias("centres"), F.count("*").alias("n")).where("n > 1").select("key", "centres")
+    pairs = dealt.join(centres, "key").select("node", F.explode(F.filter("centres", lambda c: c != F.col("node"))).alias("centre"))
+    pairs = pairs.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
+    h = heads.select("node", F.col("n").cast("int").alias("n"), "bits")
 
-    def agree(batches):
+    def bound(batches):
         for b in batches:
-            keep = [int((np.frombuffer(x, np.uint64) == np.frombuffer(y, np.uint64)).sum()) >= AGREE for x, y in zip(b.column("ha").to_pylist(), b.column("hb").to_pylist(), strict=True)]
-            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    both = pairs.join(h.select(F.col("node").alias("a"), F.col("hashes").alias("ha")), "a").join(h.select(F.col("node").alias("b"), F.col("hashes").alias("hb")), "b")
-    tried = stored(both.select("a", "b", "ha", "hb").mapInArrow(agree, "a long, b long"), "tried", n_heads)
-    ids = tried.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(heads.select("node", "doc"), "node")
-    sets = stored(_sets(docs, ids, n_heads), "sets")
+            cols = (b.column(c).to_pylist() for c in ("na", "ba", "nb", "bb"))
+            shared = [room(n, np.frombuffer(x, np.uint8), m, np.frombuffer(y, np.uint8)) for n, x, m, y in zip(*cols, strict=True)]
+            likely = [s / max(1, n + m - s) for s, n, m in zip(shared, b.column("na").to_pylist(), b.column("nb").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(likely, pa.float64())], ["a", "b", "likely"]).filter(pa.array([s > 0 for s in shared], pa.bool_()))
+
+    both = pairs.join(h.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("bits").alias("ba")), "a")
+    both = both.join(h.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bb")), "b")
+    hopeful = stored(both.select("a", "b", "na", "nb", "ba", "bb").mapInArrow(bound, "a long, b long, likely double"), "hopeful", n_heads)
+    # Each end tries the likeliest of its centres; it has KEYS x CENTRES of them at most, but a centre has any number of ends.
+    by_end = [_likeliest(hopeful, x, y).select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")) for x, y in (("a", "b"), ("b", "a"))]
+    tried = stored(by_end[0].unionByName(by_end[1]).distinct(), "tried", n_heads)
+    ids = stored(tried.select("a").unionByName(tried.select(F.col("b").alias("a"))).distinct().select(F.col("a").alias("node")).join(heads.select("node", "doc"), "node"), "tried-sets", n_heads)
+    sets = stored(_sets(docs, ids, ids.count()), "sets")
 
     def verify(batches):
         for b in released(batches):
@@ -302,8 +348,18 @@ def _bucket_links(docs: DataFrame, heads: DataFrame, n_heads: int) -> DataFrame:
     return stored(full.select("a", "b", "ta", "tb").mapInArrow(verify, "a long, b long"), "bucket-links", n_heads)
 
 
+def _likeliest(pairs: DataFrame, node: str, other: str) -> DataFrame:
+    """The TRIED likeliest of pairs(a, b, likely) for each node, one after the other by maxima, which have partial sums."""
+    found, left = None, pairs
+    for _ in range(TRIED):
+        best = left.groupBy(node).agg(F.max(F.struct("likely", other)).alias("x")).select(node, F.col(f"x.{other}").alias(other))
+        found = best if found is None else found.unionByName(best)
+        left = left.join(best, [node, other], "left_anti")
+    return found
+
+
 def make_groups(docs: DataFrame, heads: DataFrame, n_heads: int) -> DataFrame:
-    """(node, doc, n, least, grp, label) for heads(node, doc, n, least, hashes): label is the smallest member that bucket links reach."""
+    """(node, doc, n, least, grp, label) for heads(node, doc, n, least, hashes, bits): label is the smallest member that bucket links reach."""
     links = _bucket_links(docs, heads, n_heads)
     label = components(links, links.count()).join(heads.select("node", "n"), "node")
     sizes = label.groupBy("comp").agg(F.count("*").alias("size"), F.sum("n").alias("tokens"))
@@ -508,11 +564,38 @@ def qualifying(sketches: DataFrame, groups: DataFrame, n_groups: int, levels: np
     return shared.join(one, "a").join(two, "b").where((F.col("shared") >= F.least("la", "lb")) & (t * F.col("ha") >= s * F.col("wb")) & (t * F.col("hb") >= s * F.col("wa"))).select("a", "b")
 
 
-def open_groups(docs: DataFrame, groups: DataFrame, pairs: DataFrame, n_groups: int) -> DataFrame:
+def _members(pairs: DataFrame, groups: DataFrame) -> DataFrame:
+    """The rows of groups that pairs(a, b) names."""
+    named = pairs.select(F.col("a").alias("grp")).unionByName(pairs.select(F.col("b").alias("grp"))).distinct()
+    return groups.join(named, "grp", "left_semi")
+
+
+def _with_room(heads: DataFrame, ids: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs of groups (a, b) some members of which may link by their bitmaps."""
+    bits = ids.select("node", "grp").join(heads.select("node", F.col("n").cast("int").alias("n"), "bits"), "node")
+    bits = bits.groupBy("grp").agg(F.collect_list(F.struct("n", "bits")).alias("maps"))
+
+    def read(cell):
+        return [(r["n"], np.frombuffer(r["bits"], np.uint8)) for r in cell.as_py()]
+
+    def bound(batches):
+        for b in batches:
+            keep = []
+            for one, two in zip(b.column("xs"), b.column("ys"), strict=True):
+                right = read(two)
+                keep.append(any(room(*x, *y) for x in read(one) for y in right))
+            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    full = pairs.join(bits.select(F.col("grp").alias("a"), F.col("maps").alias("xs")), "a").join(bits.select(F.col("grp").alias("b"), F.col("maps").alias("ys")), "b")
+    return full.select("a", "b", "xs", "ys").mapInArrow(bound, "a long, b long")
+
+
+def open_groups(docs: DataFrame, heads: DataFrame, groups: DataFrame, pairs: DataFrame, n_groups: int) -> DataFrame:
     """An exact link (a, b) between members for every pair of groups that has one."""
     pairs = stored(pairs, "qualifying", n_groups)
-    ids = groups.join(pairs.select(F.explode(F.array("a", "b")).alias("grp")).distinct(), "grp", "left_semi").select("node", "doc", "grp")
-    ids = stored(ids, "opened", n_groups)
+    ids = stored(_members(pairs, groups.select("node", "doc", "grp")), "qualified", n_groups)
+    pairs = stored(_with_room(heads, ids, pairs), "with-room", n_groups)
+    ids = stored(_members(pairs, ids), "opened", n_groups)
     sets = _sets(docs, ids, ids.count()).join(ids.select("node", "grp"), "node")
     held = stored(sets.groupBy("grp").agg(F.collect_list(F.struct("node", "tokens")).alias("sets")), "group-sets")
 
@@ -555,10 +638,10 @@ def linked_rows(docs: DataFrame) -> DataFrame:
     n_rows = sketches.count()
     classes = stored(classes, "classes", n_rows)
     n_classes = classes.count()
-    heads = sketches.select("node", F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"), "least", "hashes").join(_small(n_classes, 80, classes), ["node", "doc"], "left_semi").dropDuplicates(["node"])
+    heads = sketches.select("node", F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"), "least", "hashes", "bits").join(_small(n_classes, 80, classes), ["node", "doc"], "left_semi").dropDuplicates(["node"])
     heads = stored(heads, "heads", n_classes)
     groups = make_groups(docs, heads, n_classes)
-    links = open_groups(docs, groups, qualifying(sketches, groups, n_classes, levels, wide_level), n_classes)
+    links = open_groups(docs, heads, groups, qualifying(sketches, groups, n_classes, levels, wide_level), n_classes)
     label = groups.select("node", "doc", "label")
     ends = links.join(label.select(F.col("node").alias("a"), F.col("label").alias("la")), "a").join(label.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b")
     joined = components(ends.select(F.col("la").alias("a"), F.col("lb").alias("b")), links.count())

@@ -278,6 +278,43 @@ def test_a_token_of_20_000_groups_is_met_in_parts():
     assert not list(jaccard_join.overlaps(cols))
 
 
+def test_jaccard_pairs_of_a_large_group_of_near_copies(spark, monkeypatch):
+    """Near copies of one text, most pairs near the threshold: their number doesn't grow with the square of the group."""
+    r, texts, seen = random.Random(8), {}, {}
+    base = text_of(150, 77).split()
+    for i in range(300):
+        w = list(base)
+        for _ in range(2 + i % 2):
+            w[r.randrange(len(w))] = f"n{r.randrange(10**6)}"
+        texts[i] = " ".join(w)
+    put = jaccard_join.stored
+
+    def spied(df, name, rows=None):
+        out = put(df, name, rows)
+        seen[name] = out.count()
+        return out
+
+    monkeypatch.setattr(jaccard_join, "stored", spied)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.link_components(df).collect()}
+    assert got == plain_components(texts)
+    assert seen["qualifying"] <= 5 * len(texts) and seen["tried"] <= 2 * jaccard_join.TRIED * len(texts), seen
+
+
+def test_jaccard_bitmaps_never_undershoot():
+    r = np.random.default_rng(3)
+    for n in (1, 2, 31, 32, 33, 200, 2049, 30_000):
+        both = r.integers(0, 1 << 63, 2 * n, np.int64).view(np.uint64)
+        for new in (0, 1, n // 8, n // 7, n // 6, n // 4, n):
+            x, y = np.sort(both[:n]), np.sort(both[new : n + max(new, 1) - new % 2])
+            shared = len(np.intersect1d(x, y))
+            bound = jaccard_join.room(len(x), jaccard_join.bitmap(x), len(y), jaccard_join.bitmap(y))
+            assert bound >= shared if jaccard_join.linked(x, y) else bound == 0 or bound >= shared
+    x = both[:200]
+    assert jaccard_join.room(200, jaccard_join.bitmap(x), 200, jaccard_join.bitmap(both[100:300])) == 0
+    assert jaccard_join.room(0, jaccard_join.bitmap(x[:0]), 0, jaccard_join.bitmap(x[:0])) == 0
+
+
 def test_jaccard_texts_of_one_id_are_two_sets(spark):
     a, b = text_of(40, 71), text_of(40, 72)
     df = spark.createDataFrame([(5, a), (5, b), (3, b), (9, a), (9, a), (None, a), (None, "alone")], "doc_id long, text string").repartition(3)
@@ -362,7 +399,7 @@ def plain_forest(x, y, w, cuts):
 def test_url_scores_are_those_of_a_plain_forest(spark):
     r = random.Random(8)
     rows = []
-    for i in range(160):
+    for i in range(300):
         bad = r.random() < 0.4
         name = "-".join(r.choice(["win", "shop", "news", "lab"]) for _ in range(1 + 2 * bad * (r.random() < 0.8))) + (str(r.randrange(999)) if bad else "")
         rows.append((i, f"http{'s' * (i % 3 > 0)}://{name}.{r.choice(['com', 'net', 'info'])}/a/{i}?x={i}" + "&y=1" * (bad and i % 2), int(bad), 1.0 + i % 2))
