@@ -1,9 +1,9 @@
 """BPE encoding and decoding with a contiguous rank array.
 
-A word is a string with an array of part boundaries and, beside it, the array of
-the merge ranks of neighbouring parts. The smallest rank is found by a scan, its
-boundary is deleted and the ranks of the two neighbours are refreshed, until no
-pair has a rank. For words of at most SHORT parts the scans stay in a few cache
+A word is an array of the ids of its parts and, beside it, the array of the merge
+ranks of neighbouring parts. The smallest rank is found by a scan, its two parts
+become one and the ranks of the two neighbours are refreshed, until no pair has a
+rank. For words of at most SHORT parts the scans stay in a few cache
 lines; longer words use the same merges from a heap, so that a text without
 spaces isn't quadratic.
 
@@ -28,9 +28,11 @@ from .common import slices, small_batches, table, trim
 
 SHORT = 48
 #: Words and chunks remembered by a worker; a full memory becomes the old one, which the next replaces.
-MEMORY = 100_000
+MEMORY = 250_000
 END = "</w>"
 _NO_RANK = 1 << 60
+#: Bits of an id within a pair, and the id of a byte that the vocabulary lacks, which no pair has.
+_SHIFT, _UNKNOWN = 32, -1
 #: White space of str.split() that the tokenizer's \s isn't.
 _CONTROL = re.compile("[\x1c-\x1f]")
 _SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
@@ -79,59 +81,57 @@ class WordBpe:
 
     def __init__(self, data: dict):
         self.vocab = data["vocab"]
-        self.rank = {pair: i for i, pair in enumerate(data["merges"])}
+        # Parts are their ids; a pair of them is one number, and its rank leads to the id of the whole.
+        self.rank = {self.vocab[a] << _SHIFT | self.vocab[b]: i for i, (a, b) in enumerate(data["merges"])}
+        self.merged = [self.vocab[a + b] for a, b in data["merges"]]
         self.special = data["special"]
         pattern = regex.compile(data["pattern"])
         self.split, self.places = pattern.findall, pattern.finditer
         self.token = {i: t for t, i in (self.vocab | self.special).items()}
         self.text_of_id = {i: str(i) for i in self.token}
-        self.letters = byte_letters()
+        self.letter_ids, self.last_ids = ([self.vocab.get(x + end, _UNKNOWN) for x in byte_letters()] for end in ("", END))
         self.cut = re.compile("|".join(sorted(map(re.escape, self.special), key=len, reverse=True))) if self.special else None
         self.by_word: dict[str, tuple[int, ...]] = {}
         self.by_chunk: dict[str, tuple[int, ...]] = {}
         self.old_words: dict[str, tuple[int, ...]] = {}
         self.old_chunks: dict[str, tuple[int, ...]] = {}
 
-    def merge(self, word: str) -> list[str]:
-        """Parts of word, a string of byte letters, with the end mark on the last."""
-        bounds = [*range(len(word)), len(word) + len(END)]
-        word += END
-        if len(bounds) > SHORT:
-            return self._merge_long([word[a:b] for a, b in zip(bounds, bounds[1:], strict=False)])
-        rank = self.rank
-        n = len(bounds) - 1
-        ranks = [rank.get(pair, _NO_RANK) for pair in zip(word, word[1 : n - 1], strict=False)]
-        if n > 1:
-            ranks.append(rank.get((word[n - 2], word[n - 1 :]), _NO_RANK))
+    def merge(self, word: bytes) -> list[int]:
+        """Ids of the parts of word, the end mark on the last."""
+        ids = [*map(self.letter_ids.__getitem__, word[:-1]), self.last_ids[word[-1]]]
+        if len(ids) > SHORT:
+            return self._merge_long(ids)
+        get, whole = self.rank.get, self.merged
+        ranks = [get(a << _SHIFT | b, _NO_RANK) for a, b in zip(ids, ids[1:], strict=False)]
         while ranks:
             best = min(ranks)
             if best == _NO_RANK:
                 break
             i = ranks.index(best)
-            del bounds[i + 1], ranks[i]
-            here = word[bounds[i] : bounds[i + 1]]
+            ids[i] = here = whole[best]
+            del ids[i + 1], ranks[i]
             if i:
-                ranks[i - 1] = rank.get((word[bounds[i - 1] : bounds[i]], here), _NO_RANK)
+                ranks[i - 1] = get(ids[i - 1] << _SHIFT | here, _NO_RANK)
             if i < len(ranks):
-                ranks[i] = rank.get((here, word[bounds[i + 1] : bounds[i + 2]]), _NO_RANK)
-        return [word[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
+                ranks[i] = get(here << _SHIFT | ids[i + 1], _NO_RANK)
+        return ids
 
-    def _merge_long(self, parts: list[str | None]) -> list[str]:
+    def _merge_long(self, parts: list[int | None]) -> list[int]:
         n, rank = len(parts), self.rank
         left, right = list(range(-1, n - 1)), list(range(1, n + 1))
-        heap = [(r, i, parts[i], parts[i + 1]) for i in range(n - 1) if (r := rank.get((parts[i], parts[i + 1]))) is not None]
+        heap = [(r, i, parts[i], parts[i + 1]) for i in range(n - 1) if (r := rank.get(parts[i] << _SHIFT | parts[i + 1])) is not None]
         heapq.heapify(heap)
         while heap:
-            _, i, a, b = heapq.heappop(heap)
+            r, i, a, b = heapq.heappop(heap)
             j = right[i]
             if j >= n or parts[i] != a or parts[j] != b:
                 continue
-            parts[i], parts[j] = a + b, None
+            parts[i], parts[j] = self.merged[r], None
             right[i] = right[j]
             if right[i] < n:
                 left[right[i]] = i
             for x, y in ((left[i], i), (i, right[i])):
-                if x >= 0 and y < n and (r := rank.get((parts[x], parts[y]))) is not None:
+                if x >= 0 and y < n and (r := rank.get(parts[x] << _SHIFT | parts[y])) is not None:
                     heapq.heappush(heap, (r, x, parts[x], parts[y]))
         return [p for p in parts if p is not None]
 
@@ -140,8 +140,9 @@ class WordBpe:
         if ids is None:
             ids = self.old_words.get(word)
             if ids is None:
-                letters = self.letters
-                ids = tuple(self.vocab[p] for p in self.merge("".join([letters[b] for b in word.encode()])))
+                ids = tuple(self.merge(word.encode()))
+                if _UNKNOWN in ids:
+                    raise KeyError(word)
             if len(self.by_word) >= MEMORY:
                 self.old_words, self.by_word = self.by_word, {}
             self.by_word[word] = ids

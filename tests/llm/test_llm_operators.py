@@ -485,6 +485,18 @@ def test_bpe_of_every_code_point_equals_the_library():
         assert not wrong, ascii(wrong[0])
 
 
+def test_bpe_merges_ids(monkeypatch):
+    """Parts are merged as ids, by the scan as by the heap, and as the library does."""
+    path, r = bpe.default_path(), random.Random(6)
+    lib, own = Tokenizer.from_file(path), bpe.WordBpe(bpe.load(path))
+    words = ["a", "é", "the", "unbelievable"] + ["".join(r.choices("abcdeiorst", k=r.randint(2, 90))) for _ in range(300)]
+    merged = [own.merge(w.encode()) for w in words]
+    assert merged == [e.ids for e in lib.encode_batch(words, add_special_tokens=False)]
+    for short in (0, 1000):
+        monkeypatch.setattr(bpe, "SHORT", short)
+        assert merged == [own.merge(w.encode()) for w in words]
+
+
 # ---- 8 secrets --------------------------------------------------------------------------
 def test_secrets_ledger_and_redaction(spark, docs, tmp_path):
     got = rows_of(secrets.find_secrets(docs))
