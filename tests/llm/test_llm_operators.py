@@ -449,6 +449,13 @@ def test_url_verdicts_do_not_depend_on_the_number_of_ruled_rows(spark):
     assert seen[0] == seen[1] == seen[2] and set(seen[0].values()) == {"allow", "block"}
 
 
+def test_url_labels_are_all_ruled_urls(spark):
+    rows = spark.range(30_000).select(F.concat(F.lit("https://a"), "id", F.when(F.col("id") % 2 == 0, ".org/x").otherwise(".com/de/")).alias("url"))
+    labels = url_filter.labels_of(rows)
+    assert labels.count() == 30_000
+    assert 0.2 < labels.where("held").count() / 30_000 < 0.3
+
+
 # ---- 7 BPE -----------------------------------------------------------------------------
 def test_bpe_equals_the_library(docs):
     from tokenizers import Tokenizer
@@ -487,6 +494,8 @@ def test_bpe_of_every_code_point_equals_the_library():
 
 def test_bpe_merges_ids(monkeypatch):
     """Parts are merged as ids, by the scan as by the heap, and as the library does."""
+    from tokenizers import Tokenizer
+
     path, r = bpe.default_path(), random.Random(6)
     lib, own = Tokenizer.from_file(path), bpe.WordBpe(bpe.load(path))
     words = ["a", "é", "the", "unbelievable"] + ["".join(r.choices("abcdeiorst", k=r.randint(2, 90))) for _ in range(300)]
